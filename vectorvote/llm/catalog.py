@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lang_id
+from . import lang_id, pii
 
-_MODULES = (lang_id,)
+_MODULES = (lang_id, pii)
 
 
 def queries() -> dict[str, Callable]:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lang_id, pii
+from . import lang_id, line_dedup, pii
 
-_MODULES = (lang_id, pii)
+_MODULES = (lang_id, line_dedup, pii)
 
 
 def queries() -> dict[str, Callable]:

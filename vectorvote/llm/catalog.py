@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import lang_id, line_dedup, pii
+from . import bpe, decontaminate, lang_id, line_dedup, pii, token_file
 
-_MODULES = (lang_id, line_dedup, pii)
+_MODULES = (bpe, decontaminate, lang_id, line_dedup, pii, token_file)
 
 
 def queries() -> dict[str, Callable]:

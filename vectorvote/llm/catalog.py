@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, decontaminate, lang_id, line_dedup, pii, token_file
+from . import bpe, decontaminate, lang_id, line_dedup, near_dedup, pii, token_file
 
-_MODULES = (bpe, decontaminate, lang_id, line_dedup, pii, token_file)
+_MODULES = (bpe, decontaminate, lang_id, line_dedup, near_dedup, pii, token_file)
 
 
 def queries() -> dict[str, Callable]:

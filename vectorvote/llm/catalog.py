@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import bpe, decontaminate, html_text, lang_id, line_dedup, near_dedup, pii, token_file
+from . import bpe, decontaminate, hilbert_knn, html_text, lang_id, line_dedup, near_dedup, ngram_lm, pii, token_file
 
-_MODULES = (bpe, decontaminate, html_text, lang_id, line_dedup, near_dedup, pii, token_file)
+_MODULES = (bpe, decontaminate, hilbert_knn, html_text, lang_id, line_dedup, near_dedup, ngram_lm, pii, token_file)
 
 
 def queries() -> dict[str, Callable]:

@@ -223,27 +223,40 @@ def main_lines(size: list[int], kind: list[int], key: list[int], others: list[li
     return [k for k in range(len(key)) if kind[k] == (MAIN if marked else PLAIN) and (marked or k not in shared)]
 
 
-_LINES = "texts array<string>, kinds array<int>, keys array<bigint>"
+_LINES = "texts binary, kinds binary, keys array<bigint>"
 _SCHEMA = f"page_id bigint, url string, text string, host string, path string, tie bigint, {_LINES}, before_keys array<bigint>, after_keys array<bigint>, lone boolean"
 _ARROW = pa.schema(
     [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("host", pa.string()), ("path", pa.string()), ("tie", pa.int64())]
-    + [("texts", pa.list_(pa.string())), ("kinds", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))]
+    + [("texts", pa.binary()), ("kinds", pa.binary()), ("keys", pa.list_(pa.int64()))]
     + [("before_keys", pa.list_(pa.int64())), ("after_keys", pa.list_(pa.int64())), ("lone", pa.bool_())]
 )
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of each page, packed: the texts of those that may be main text, compressed; the kinds and keys of all."""
+    import zstandard
+
     schema = pa.schema([f for f in _ARROW if f.name in ("page_id", "url", "host", "path", "tie", "texts", "kinds", "keys")])
+    packer = zstandard.ZstdCompressor(level=9)
     for whole in batches:
-        for batch in slices(whole, "html"):
-            found = [lines(x) for x in batch.column("html").to_pylist()]
-            yield as_table(schema, **{c: batch.column(c) for c in ("page_id", "url", "host", "path", "tie")}, texts=[[x.text for x in p] for p in found], kinds=[[x.kind for x in p] for p in found], keys=[[_key(x) for x in p] for p in found])
+        for batch in slices(whole, "html", 1 << 20):
+            texts, kinds, keys = [], [], []
+            for page in batch.column("html"):
+                found = lines(page.as_py())
+                texts.append(packer.compress("\n".join(x.text for x in found if x.kind != TEMPLATE).encode()))
+                kinds.append(bytes(x.kind for x in found))
+                keys.append([_key(x) for x in found])
+            yield as_table(schema, **{c: batch.column(c) for c in ("page_id", "url", "host", "path", "tie")}, texts=texts, kinds=kinds, keys=keys)
 
 
 def _text(row: dict, before: dict | None, after: dict | None) -> str:
+    import zstandard
+
+    packed = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=1 << 31).decode()
+    rest = iter(packed.split("\n"))
+    texts = ["" if kind == TEMPLATE else next(rest) for kind in row["kinds"]]
     others = [x["keys"] for x in (before, after) if x is not None and x["host"] == row["host"]]
-    places = main_lines([len(t) for t in row["texts"]], row["kinds"], row["keys"], others)
-    return " ".join(row["texts"][k] for k in places)
+    return " ".join(texts[k] for k in main_lines([len(t) for t in texts], list(row["kinds"]), row["keys"], others))
 
 
 def _emit(rows: list[dict]) -> pa.RecordBatch:
@@ -268,8 +281,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _done(row: dict, before: dict | None, after: dict | None) -> dict:
-    done = {k: row[k] for k in ("page_id", "url", "host", "path", "tie")}
+    done = {k: row[k] for k in ("page_id", "url")}
     if before is None or after is None:
+        done |= {k: row[k] for k in ("host", "path", "tie")}
         sides = {f"{s}_keys": x["keys"] if x["host"] == row["host"] else [] for s, x in (("before", before), ("after", after)) if x is not None}
         return done | {"lone": True, "texts": row["texts"], "kinds": row["kinds"], "keys": row["keys"]} | sides
     return done | {"lone": False, "text": _text(row, before, after)}

@@ -108,7 +108,7 @@ def export_binary(index: IvfIndex, path: str) -> int:
     label = np.where(rows["label"] == "fraud", codec.FRAUD_BYTE, codec.LEGIT_BYTE).astype(np.uint8)
     values = np.array(rows["q"].tolist(), "<i2").reshape(len(rows), -1)
     raw = codec.pack(c, r, rows["cluster_id"].to_numpy(np.int64), label, values if len(rows) else np.zeros((0, c.shape[1] if len(c) else DIMENSIONS), "<i2"))
-    codec.publish(raw, path)
+    codec.publish_to(index.lists.sparkSession, raw, path)
     return len(raw)
 
 

@@ -277,14 +277,11 @@ def kmeans_pp(spark, sf_dir):
 
 def index_roundtrip(spark, sf_dir):
     """The exchange format, written and read back: the lists as they were."""
-    import os
-    import tempfile
-
     own = index(spark, sf_dir)
-    path = os.path.join(tempfile.mkdtemp(prefix="vectorvote-"), "index.bin")
+    path = f"{scratch(spark, 'exchange')}/index.bin"
     ivf.export_binary(own, path)
     dims = len(own.matrix()[1][0])
-    return kept(ivf.import_binary(spark, f"file://{path}", dims), "imported").select("ref_id", "cluster_id", "label", F.aggregate("q", F.lit(0).cast("bigint"), lambda a, x: a * 3 % 1_000_003 + x).alias("digest"))
+    return kept(ivf.import_binary(spark, path, dims), "imported").select("ref_id", "cluster_id", "label", F.aggregate("q", F.lit(0).cast("bigint"), lambda a, x: a * 3 % 1_000_003 + x).alias("digest"))
 
 
 NAMES = (

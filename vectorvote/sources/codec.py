@@ -97,3 +97,20 @@ def publish(raw: bytes, path: str) -> None:
     finally:
         if os.path.exists(beside):
             os.remove(beside)
+
+
+def publish_to(spark, raw: bytes, path: str) -> None:
+    """The same in any store that Spark can write to."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = hadoop.Path(target.getParent(), f".{target.getName()}.tmp.{os.getpid()}")
+    store.mkdirs(target.getParent())
+    out = store.create(beside, True)
+    try:
+        out.write(bytearray(raw))
+    finally:
+        out.close()
+    store.delete(target, False)
+    if not store.rename(beside, target):
+        raise OSError(f"{path} can't be written")

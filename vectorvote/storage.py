@@ -20,5 +20,5 @@ def scratch(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as Parquet and read back."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

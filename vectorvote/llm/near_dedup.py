@@ -230,7 +230,7 @@ def cluster(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     left = likely.select("a", "b")
     for c in "ab":
         left = left.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    more = confirmed(left.where("ra <> rb"), texts, words, percent)
+    more = kept(confirmed(left.where("ra <> rb"), texts, words, percent), "links")
     final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     own = nodes.select("node", F.col("first.doc_id").alias("doc_id")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "root", "component_id")

@@ -31,7 +31,7 @@ from .text import as_table
 
 CURVES, DIMS, BITS = 20, 8, 6
 HALF = 0.03
-TILE = 1024
+TILE = 8192
 SEED = 11
 
 
@@ -145,7 +145,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, curves: int = CURVE
             far = np.abs(ask["pos"].to_numpy()[a : a + 256, None] - cand["pos"].to_numpy()[None, :]) > ask["w"].to_numpy()[a : a + 256, None]
             score[far] = -9
             # a few more than needed: the exact score, below, breaks near-ties; then equal scores by the smaller id
-            take = min(len(y), k + 9)
+            take = min(len(y), k + 4)
             best = np.argpartition(-score, take - 1, axis=1)[:, :take]
             i = np.repeat(np.arange(len(score)), take)
             j = best.ravel()

@@ -39,6 +39,8 @@ PRECISION = 20
 LANES = 2048
 CHECK_STEPS = 64
 BLOCK, SECTION = 1 << 18, 1 << 21
+#: Chunks that the library encodes in one line.
+LINE = 200
 MAGIC = 0x31534E52
 _HEAD = struct.Struct("<7I")
 _LOW = 1 << 31
@@ -59,6 +61,8 @@ class Table:
         self.weight = np.asarray(weight, U64)
         self.start = np.concatenate([[0], np.cumsum(weight)[:-1]]).astype(U64)
         self.slot: np.ndarray | None = None
+        self.place = np.zeros(int(self.symbols.max()) + 1, np.int32)
+        self.place[self.symbols] = np.arange(len(self.symbols))
 
     def slots(self) -> np.ndarray:
         if self.slot is None:
@@ -69,7 +73,7 @@ class Table:
 def encode_block(ids: np.ndarray, table: Table, lanes: int = LANES, check: int = CHECK_STEPS) -> bytes:
     n = len(ids)
     lanes = max(1, min(lanes, n))
-    index = np.searchsorted(table.symbols, ids)
+    index = table.place[ids]
     steps = -(-n // lanes)
     state = np.full(lanes, _LOW, U64)
     words, checkpoints, written = [], [], 0
@@ -138,6 +142,9 @@ class WordTokenizer:
     MARK = "\x01"
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -146,14 +153,15 @@ class WordTokenizer:
         self.cache = Cache(self.encode_chunks)
 
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Chunks go to the library in long lines, parted by a mark; chunks that hold the mark's own token go alone."""
+        """Chunks go to the library in lines, parted by a mark; the chunks of a line that holds the mark's own token go alone."""
         texts = [c.decode() for c in chunks]
         ids: list[np.ndarray] = []
         size = np.empty(len(texts), np.int64)
         (mark,) = self.mark
-        for at in range(0, len(texts), 20_000):
-            part = texts[at : at + 20_000]
-            got = np.array(self.library.encode(f" {self.MARK} ".join(part), add_special_tokens=False).ids, np.int32)
+        starts = range(0, len(texts), LINE)
+        lines = [f" {self.MARK} ".join(texts[at : at + LINE]) for at in starts]
+        for at, line in zip(starts, self.library.encode_batch_fast(lines, add_special_tokens=False)):
+            part, got = texts[at : at + LINE], np.array(line.ids, np.int32)
             cut = np.flatnonzero(got == mark)
             if len(cut) == len(part) - 1:
                 size[at : at + len(part)] = np.diff(np.concatenate([[-1], cut, [len(got)]])) - 1
@@ -184,8 +192,9 @@ def loaded(path: str) -> WordTokenizer:
 def _section(part: int, number: int, docs: list, sizes: list, ids: list) -> dict:
     """A section's row, from the ids of its documents."""
     every, size = np.concatenate(ids), np.concatenate(sizes)
-    symbols, counts = np.unique(every, return_counts=True)
-    table = Table(symbols, weights(counts))
+    counts = np.bincount(every)
+    symbols = np.flatnonzero(counts)
+    table = Table(symbols, weights(counts[symbols]))
     ends = np.cumsum(size)
     blocks, at, doc = [], 0, 0
     while doc < len(size):  # blocks end with a document

@@ -4,7 +4,7 @@
 The deobfuscator runs the text through three transducers, each of which rewrites it and keeps for every character
 of its output the source range it came from:
 
-1. glyphs: look-alike letters and digits become ASCII, invisible characters vanish;
+1. glyphs: look-alike letters and digits become ASCII, invisible characters vanish, and O, o, l, I in a group that is mostly digits become 0 and 1;
 2. spelled digits: a run of number words ("four one one one", "plus one five ...") becomes digits;
 3. at/dot: "[at]", "(dot)", "name at host dot tld", "name @ host" become the plain signs.
 
@@ -99,9 +99,9 @@ NUMBER_WORDS = (
 DIGIT_OF = {w: str(k) for row in NUMBER_WORDS for k, w in enumerate(row.split())} | {"oh": "0"}
 
 _word = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
-_sep = r"[\s,\-]+"
+_sep = r"[\s,\-()]+"
 _point = r"\s*(?:dot|point|punkt|punto|\.)\s*"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus\s+|\+\s*)?{_word}(?:(?:{_sep}|{_point}){_word}){{3,}}(?!\w)", re.I)
+_SPELLED = re.compile(rf"(?<!\w)(?:plus\s+|\+\s*)?{_word}(?:(?:{_sep}|{_point}){_word})+(?!\w)", re.I)
 _TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<digit>{_word})(?!\w)|(?P<point>dot|point|punkt|punto|\.)", re.I)
 _open, _close = r"[\[({<]", r"[\])}>]"
 _AT = re.compile(rf"\s*{_open}\s*(?:at|@|arroba)\s*{_close}\s*", re.I)
@@ -155,6 +155,20 @@ def glyphs(m: Mapped) -> Mapped:
     return m.rewrite([(x.start(), x.end(), new) for x in _NON_ASCII.finditer(m.text) if (new := _plain(x[0])) != x[0]])
 
 
+#: Letters in the place of digits, in groups that are mostly digits.
+_MIXED = re.compile(r"(?<![A-Za-z0-9@_%-])\+?[0-9OolI](?:[ .()-]{0,3}[0-9OolI]){5,}(?![A-Za-z0-9@_%])")
+_AS_DIGIT = {"O": "0", "o": "0", "l": "1", "I": "1"}
+
+
+def look_alike_digits(m: Mapped) -> Mapped:
+    edits = []
+    for x in _MIXED.finditer(m.text):
+        digits, letters = sum("0" <= c <= "9" for c in x[0]), sum(c in _AS_DIGIT for c in x[0])
+        if letters and digits >= 2 * letters:
+            edits += [(k, k + 1, _AS_DIGIT[m.text[k]]) for k in range(x.start(), x.end()) if m.text[k] in _AS_DIGIT]
+    return m.rewrite(edits)
+
+
 def spelled(m: Mapped) -> Mapped:
     edits = []
     for run in _SPELLED.finditer(m.text):
@@ -193,7 +207,7 @@ def signs(m: Mapped) -> Mapped:
 
 def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that show only after deobfuscation, in source offsets."""
-    m = signs(spelled(glyphs(Mapped(text))))
+    m = signs(spelled(look_alike_digits(glyphs(Mapped(text)))))
     if m.text == text:
         return []
     had, out = set(base), []
@@ -208,7 +222,12 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
 
 _BLANK = LOWER.copy()
 _BLANK[[9, 10, 11, 12, 13, 44, 45, 46]] = 32
-_TRIGGERS = sorted({f" {w} ".encode() for w in DIGIT_OF if w not in ("un", "six", "oh", "one", "dos")} | {b" one one ", b" six six ", b" un un ", b" dos dos "} | {b"dot", b"[at", b"(at", b"{at", b"<at", b"[ at", b"( at", b"{ at", b"< at", b"[@", b"(@", b"{@", b"<@", b" @", b"@ ", b"[ @", b"( @", b"arroba", b"punkt)", b"punkt]", b"point)", b"point]", b"punto)", b"punto]"})
+_WORDS_ONLY = _BLANK.copy()
+_WORDS_ONLY[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
+#: Number words that are frequent in ordinary text count only beside another one.
+_COMMON = ("one", "six", "oh", "un", "dos")
+_NUMBER_TRIGGERS = sorted({f" {w} ".encode() for w in DIGIT_OF if w not in _COMMON} | {f" {a} {b} ".encode() for a in _COMMON for b in _COMMON})
+_SIGN_TRIGGERS = [b"dot", b"[at", b"(at", b"{at", b"<at", b"[ at", b"( at", b"{ at", b"< at", b"[@", b"(@", b"{@", b"<@", b" @", b"@ ", b"[ @", b"( @", b"arroba", b"punkt)", b"punkt]", b"point)", b"point]", b"punto)", b"punto]"]
 
 
 def _candidates(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -219,14 +238,19 @@ def _candidates(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
     digit = (buf >= 48) & (buf <= 57)
     plain = has(digit | (buf == 64))
-    odd = has((buf == 0xC2) | (buf >= 0xC4))
-    flat_text = _BLANK[buf].tobytes()
-    for needle in _TRIGGERS:
-        at = flat_text.find(needle)
-        while at >= 0:
-            d = int(np.searchsorted(offs, at, "right")) - 1
-            odd[d] = True
-            at = flat_text.find(needle, int(offs[d + 1]) - len(needle) + 1 if offs[d + 1] - len(needle) >= at else at + 1)
+    alike = (buf == 79) | (buf == 111) | (buf == 108) | (buf == 73)
+    beside = np.zeros(len(buf), dtype=bool)
+    beside[1:] = (alike[1:] & digit[:-1]) | (digit[1:] & alike[:-1])
+    beside[2:] |= (alike[2:] & digit[:-2]) | (digit[2:] & alike[:-2])
+    odd = has((buf == 0xC2) | (buf >= 0xC4) | beside)
+    flat_text, words = _BLANK[buf].tobytes(), _WORDS_ONLY[buf].tobytes()
+    for where, needles in ((words, _NUMBER_TRIGGERS), (flat_text, _SIGN_TRIGGERS)):
+        for needle in needles:
+            at = where.find(needle)
+            while at >= 0:
+                d = int(np.searchsorted(offs, at, "right")) - 1
+                odd[d] = True
+                at = where.find(needle, max(at + 1, int(offs[d + 1]) - len(needle) + 1))
     # "name at host.tld": a word with a digit, dot or underscore before " at "
     at = flat_text.find(b" at ")
     while at >= 0:

@@ -23,7 +23,7 @@ def frame(spark, n=400):
 
 def test_held_out_accuracy_and_cases(spark):
     df = frame(spark)
-    got = lang_id.predict(df, lang_id.fit(df), "lang").withColumn("held", lang_id.held_out()).collect()
+    got = lang_id.predict(df, lang_id.fit(df), ["lang"]).withColumn("held", lang_id.held_out()).collect()
     assert len(got) == df.count()
     held = [x for x in got if x.held and x.lang and x.lang_pred != "und"]
     assert len(held) > 60 and np.mean([x.lang == x.lang_pred for x in held]) >= 0.97
@@ -49,5 +49,5 @@ def test_no_labels_one_label_and_empty(spark):
     one = df.where("lang = 'fr'")
     assert {x.lang_pred for x in lang_id.predict(one, lang_id.fit(one)).collect()} == {"fr"}
     assert lang_id.predict(df.limit(0), lang_id.fit(df)).count() == 0
-    kept = lang_id.keep_identified(df)
+    kept = lang_id.keep_identified(df.withColumn("lang_pred", F.lit(1))).drop("lang_pred")
     assert kept.columns == df.columns and kept.count() == df.count() - 3

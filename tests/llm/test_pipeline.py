@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -99,6 +100,22 @@ def test_pipeline(spark, folder):
         assert docs.where("n_chars <> length(text)").count() == 0
 
 
+CLASHES = ("node", "root", "h", "th", "id", "first", "score", "lang_pred", "at", "pos", "n_lines", "spans", "items", "sig", "a", "b")
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stage_with_clashing_columns_and_empty(spark, folder, name, stage):
+    path, rows, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").where("doc_id >= 80")
+    docs = docs.union(docs.where("doc_id in (80, 203, 205)"))  # repeated rows
+    more = docs.select("*", *[F.lit(k).alias(c) for k, c in enumerate(CLASHES)])
+    plain, wide = stage(spark, docs, path), stage(spark, more, path)
+    columns = plain.columns if name == "tokens" else docs.columns
+    assert wide.columns == (columns if name == "tokens" else more.columns)
+    assert sorted(map(str, wide.select(*columns).collect())) == sorted(map(str, plain.collect()))
+    assert stage(spark, docs.limit(0), path).count() == 0
+
+
 ORACLES = ["op3_decontaminate", "op4_near_dedup", "op7_line_dedup"]
 
 

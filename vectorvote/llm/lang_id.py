@@ -16,7 +16,7 @@ are ignored.  Ties go to the alphabetically first name.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -131,9 +131,12 @@ class Model:
         counts = np.concatenate([[0], np.cumsum(feature >= 0)])
         total = np.maximum(counts[offs[1:]] - counts[offs[:-1]], 1)
         out = np.empty((n, len(self.bias)))
+        full = np.flatnonzero(np.diff(offs) > 0)
         for m, b in enumerate(self.bias):
-            sums = np.concatenate([[0.0], np.cumsum(table[:, m][feature], dtype=np.float64)])
-            out[:, m] = (sums[offs[1:]] - sums[offs[:-1]]) / total + b
+            sums = np.zeros(n)
+            if len(full):  # each document is added up by itself, so its neighbours don't change its rounding
+                sums[full] = np.add.reduceat(table[:, m].astype(np.float64)[feature], offs[:-1][full])
+            out[:, m] = sums / total + b
         return out
 
     def decide(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -193,13 +196,12 @@ def fit(docs: DataFrame, train_per_lang: int = TRAIN_PER_LANG) -> Model:
     return Model(sorted(set(labels)), x, labels)
 
 
-def predict(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
-    """doc_id, lang_pred, score, and the columns named in `extra` (comma-separated, passed through)."""
-    names = ["doc_id", *[x for x in extra.split(",") if x]]
+def predict(docs: DataFrame, model: Model, extra: Sequence[str] = (), result: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """doc_id, the columns named in `extra`, passed through, and the prediction and its score, named as in `result`."""
+    names_out = list(dict.fromkeys(["doc_id", *extra]))
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    names_out = [x for x in names if x != "text"] + (["text"] if "text" in names else [])
-    source = docs.select(*dict.fromkeys([*names, "text"]))
-    schema = ", ".join(f"`{x}` {fields[x]}" for x in names_out) + ", lang_pred string, score double"
+    source = docs.select(*dict.fromkeys([*names_out, "text"]))
+    schema = ", ".join(f"`{x}` {fields[x]}" for x in names_out) + f", `{result[0]}` string, `{result[1]}` double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -216,15 +218,15 @@ def predict(docs: DataFrame, model: Model, extra: str = "") -> DataFrame:
                 langs = [x if k else "und" for x, k in zip(langs, known)]
                 score = np.where(known, score, 0.0)
                 arrays = [batch.column(x) for x in names_out] + [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names_out, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names_out, *result])
 
     return source.mapInArrow(run, schema)
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0, train_per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     """The documents, all columns, whose language could be identified: not `und`, and a score of at least min_score."""
-    got = predict(docs, fit(docs, train_per_lang), ",".join(c for c in docs.columns if c != "doc_id"))
-    return got.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*docs.columns)
+    got = predict(docs, fit(docs, train_per_lang), docs.columns, ("__lang", "__score"))
+    return got.where((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*docs.columns)
 
 
 def op9_lang_id(spark, sf_dir: str) -> DataFrame:

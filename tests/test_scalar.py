@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from vectorvote.config import ConfigError, NormalizationConfig, SearchConfig, TrainConfig
 from vectorvote.functions import features, random, scalar
 from vectorvote.sources import codec, readers
-from vectorvote.sources.schemas import REQUEST
 
 #: Five of the seven values are ours; the first two follow from known results.
 CONFIG = NormalizationConfig(10_000, 12, 10, 1_440, 1_000, 20, 10_000)

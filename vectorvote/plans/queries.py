@@ -10,7 +10,6 @@ from ..engine import Engine
 from ..functions import features, scalar
 from ..operators import ivf, kmeans, knn, sampling, score, search
 from ..sources.readers import decode_requests, encode_response, request_error
-from ..sources.schemas import REQUEST
 from ..storage import kept, scratch
 from ..streaming.score import read_stream, score_stream
 from . import requests as rq

@@ -46,6 +46,8 @@ def text(page):
         ("<body>plain <style>x{}</style>text <div hidden>h</div><noscript>n</noscript>", "plain text"),
         ("<header>Top</header><article><header><h1>T</h1></header><p>b</article>", "T b"),
         ("a < b <", "a < b <"),
+        ("<body class='has-sidebar'><main id=main class='with-comments'><div class='entry-header'><h1>T</h1></div><p>b<div id='comments'>c</div><div class=shareBar>s</div></main>", "T b"),
+        ("<div class='cookie-notice'>k</div><div class='no-ads'>text</div><table><tr><td>1<td>2<tr><td>3</table>", "text 1 2 3"),
         ("<p>cut <a href='", "cut"),
         ("", ""),
         (None, ""),

@@ -60,15 +60,26 @@ class Line:
         self.text, self.path, self.kind = text, path, kind
 
 
-def _says(attributes: str) -> tuple[bool, bool, str]:
+#: Words before a hint that say the element only goes with such a thing; elements that hints can't exclude; and hints that name parts of an article.
+_GOES_WITH = frozenset("no not has have with without hide".split())
+_WHOLE = frozenset("html body main article".split())
+_IN_ARTICLE = frozenset("header masthead side reader search form skip".split())
+
+
+def _says(name: str, attributes: str, kind: int) -> tuple[bool, bool, str]:
     """Whether an element's attributes mark it as no article, whether as the main part, and its classes for the path."""
     template, main, names = bool(_HIDDEN.search(attributes)), False, []
     for m in _ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
-        words = [w.lower() for w in _WORD.findall(value)]
-        template |= any(w in HINTS for w in words)
-        main |= m[1].lower() == "role" and value.lower() == "main"
         names.append(value)
+        main |= m[1].lower() == "role" and value.lower() == "main"
+        if name in _WHOLE:
+            continue
+        for token in value.split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            for k, w in enumerate(words):
+                if w in HINTS and not (k and words[k - 1] in _GOES_WITH) and not (kind == MAIN and w in _IN_ARTICLE):
+                    template = True
     return template, main, "." + ".".join(names) if names else ""
 
 
@@ -130,7 +141,7 @@ def lines(page: str | None) -> list[Line]:
             if name in _CLOSES:
                 _close(stack, _CLOSES[name], ("ul", "ol", "dl", "table", "select"))
         _, path, kind = stack[-1]
-        template, main, names = _says(m[3]) if m[3] else (False, False, "")
+        template, main, names = _says(name, m[3], kind) if m[3] else (False, False, "")
         if kind != TEMPLATE:
             if template or name in LANDMARKS and not (name == "header" and kind == MAIN):
                 kind = TEMPLATE

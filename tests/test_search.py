@@ -150,3 +150,26 @@ def test_engine_and_stream(spark, tmp_path):
     assert ivf.export_binary(again, str(tmp_path / "x.bin")) == 16 + 56 * 6 + 4 * 6 + 4 * 7 + 232 * again.centroids.agg(F.sum("blocks")).first()[0]
     with pytest.raises(EngineError):
         Engine.train(refs.limit(4), config, {}, TrainConfig(clusters=2))
+
+
+def test_build_and_load(spark, tmp_path):
+    from vectorvote import build
+    from vectorvote.config import ConfigError
+
+    r = np.random.default_rng(7)
+    rows = [{"vector": [round(float(x), 4) for x in r.random(14)], "label": "fraud" if i % 4 == 0 else "legit"} for i in range(120)]
+    (tmp_path / "refs.json").write_text(json.dumps(rows))
+    build.main([str(tmp_path / "refs.json"), str(tmp_path / "index"), "--clusters", "4", "--rounds", "3", "--binary", str(tmp_path / "i.bin")])
+    (tmp_path / "normalization.json").write_text(json.dumps({f: 10.0 for f in NormalizationConfig.__dataclass_fields__}))
+    (tmp_path / "mcc_risk.json").write_text(json.dumps({"5411": 0.15}))
+    engine = Engine.load(spark, str(tmp_path), str(tmp_path / "index"), SearchConfig(nprobe=4, fast_nprobe=4))
+    assert engine.reference_count() == 120
+    got = engine.classify_knn(spark.createDataFrame([(1, rows[0]["vector"])], "query_id long, vector array<float>")).first()
+    x = np.round(np.array([q["vector"] for q in rows], np.float32) * 10000)
+    near = np.lexsort((np.arange(120), ((x - x[0]) ** 2).sum(1)))[:5]
+    assert (got.found, got.votes) == (5, sum(k % 4 == 0 for k in near))
+    back = ivf.import_binary(spark, str(tmp_path / "i.bin"))
+    assert back.count() == 120 and back.where("label = 'fraud'").count() == 30
+    (tmp_path / "mcc_risk.json").write_text("[]")
+    with pytest.raises(ConfigError):
+        Engine.load(spark, str(tmp_path), str(tmp_path / "index"))

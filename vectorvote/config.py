@@ -102,6 +102,7 @@ class TrainConfig:
     rounds: int = 25
     min_changes: int = 8
     stop_from: int = 1
+    #: Fixed value: the sample's seed.
     seed: int = 0x51F1_2026_D15C_A11E
     require_enough: bool = False
     final_reassign: bool = False

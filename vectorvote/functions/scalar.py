@@ -62,5 +62,17 @@ def quantize_array(v: Column, scale: int = SCALE) -> Column:
     return F.transform(v, lambda x: quantize(x, scale))
 
 
+def l2_squared(a: Column, b: Column, kind: str = "double") -> Column:
+    """Squared distance of two arrays, added in their order; kind "bigint" for quantised ones."""
+    square = lambda x, y: (x.cast(kind) - y.cast(kind)) * (x.cast(kind) - y.cast(kind))
+    return F.aggregate(F.zip_with(a, b, square), F.lit(0).cast(kind), lambda total, d: total + d)
+
+
+def l2_within(a: Column, b: Column, most: Column, kind: str = "bigint") -> Column:
+    """The squared distance, or null beyond `most`; equality stays."""
+    d = l2_squared(a, b, kind)
+    return F.when(d <= most, d)
+
+
 def is_fraud(label: Column) -> Column:
     return label == F.lit("fraud")

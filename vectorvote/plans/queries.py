@@ -62,6 +62,14 @@ def l2_threshold(spark, sf_dir):
     return knn.distances(vectors(spark, sf_dir), _few(spark, sf_dir), within=170_000_000)
 
 
+def l2_neighbours(spark, sf_dir):
+    """Distances of each vector to the one with the next id, in floating point and quantised."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", scalar.quantize_array(F.col("embedding")).alias("q"))
+    after = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("e2"), F.col("q").alias("q2"))
+    both = rows.join(after, "vec_id")
+    return both.select("vec_id", F.round(scalar.l2_squared(F.col("embedding"), F.col("e2")), 6).alias("l2"), scalar.l2_within(F.col("q"), F.col("q2"), F.lit(200_000_000)).alias("within"))
+
+
 def knn_exact(spark, sf_dir):
     return knn.knn_exact(*split(spark, sf_dir), K)
 
@@ -284,7 +292,7 @@ def index_roundtrip(spark, sf_dir):
 
 
 NAMES = (
-    "quantize_embeddings l2_pairs l2_threshold knn_exact knn_classify kth_distance nearest_centroid cluster_sizes cluster_sums lloyd_step assignment_changes cluster_radii list_offsets block_offsets lane_placement"
+    "quantize_embeddings l2_pairs l2_threshold l2_neighbours knn_exact knn_classify kth_distance nearest_centroid cluster_sizes cluster_sums lloyd_step assignment_changes cluster_radii list_offsets block_offsets lane_placement"
     " padded_blocks centroids_transposed probe_lists ivf_fast ivf_adaptive bound_pruned_knn ivf_recall classify_ivf feature_clamp amount_vs_avg time_features minutes_since_last known_merchant mcc_risk_lookup vectorize_events"
     " request_json_roundtrip timestamp_validation response_encode score_events stream_score reservoir_sample kmeans_train kmeans_pp index_roundtrip"
 ).split()

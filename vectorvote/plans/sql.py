@@ -70,6 +70,7 @@ ORACLE = {
     "quantize_embeddings": _with(V) + "SELECT ref_id AS vec_id, CAST(i - 1 AS INTEGER) AS dim, q[i] AS q FROM (SELECT ref_id, q, unnest(range(1, len(q) + 1)) AS i FROM v)",
     "l2_pairs": _with(V) + f"SELECT x.ref_id AS query_id, y.ref_id, {_D.format('x.q', 'y.q')} AS d FROM v x, v y WHERE x.ref_id < 20",
     "l2_threshold": _with(V) + f"SELECT query_id, ref_id, CASE WHEN d <= 170000000 THEN d END AS d FROM (SELECT x.ref_id AS query_id, y.ref_id, {_D.format('x.q', 'y.q')} AS d FROM v x, v y WHERE x.ref_id < 20)",
+    "l2_neighbours": _with(V) + f"SELECT x.ref_id AS vec_id, round(list_sum(list_transform(list_zip(e.embedding, g.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS l2, CASE WHEN {_D.format('x.q', 'y.q')} <= 200000000 THEN {_D.format('x.q', 'y.q')} END AS within FROM v x JOIN v y ON y.ref_id = x.ref_id + 1 JOIN embeddings e ON e.vec_id = x.ref_id JOIN embeddings g ON g.vec_id = y.ref_id",
     "knn_exact": _with(V, R, A, KNN) + _NEIGHBOURS + "n",
     "knn_classify": _with(V, R, A, KNN) + _VOTES,
     "kth_distance": _with(V, R, A, KNN) + "SELECT query_id, CASE WHEN count(*) >= 5 THEN max(d) END AS worst FROM n GROUP BY query_id",

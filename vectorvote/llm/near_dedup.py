@@ -7,9 +7,11 @@
    prefix: in a region (nodes that share MIN_DEPTH bytes) of up to REGION nodes every pair is one; in a larger region the
    depth adapts: each node meets its NEAR next nodes, which share the deepest prefixes, and all nodes of its subregion that
    is small enough.  What parts neighbours at the ends of partitions is made good by a second pass over those ends.
-3. Candidates whose signatures agree in clearly too few bytes (more than 4 standard deviations below the threshold) go.
-4. Links are confirmed on full sets, from the whole texts: first each node with its most similar candidate; then all candidates
-   that are still in different components.  Pairs inside a component can't change the result and aren't compared.
+3. Rows of the orders carry a sketch, two bits of each minimum.  Neighbours whose sketches agree in clearly too few places (more
+   than 4 standard deviations below the threshold) are no candidates.
+4. Links are confirmed on full sets, from the whole texts, in two passes over the orders: first of each node its most similar
+   neighbour in each order; then all neighbours that still are in different components.  Pairs inside a component can't change
+   the result and aren't compared.
 
 Components come from alternating star rounds.  No link, set or component is collected on the driver.
 
@@ -32,7 +34,9 @@ from .shared import kept
 from .text import BLANK_WORDS, U64, Words, as_table, flat, mix, slices, windows
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
-REGION, NEAR = 12, 6
+REGION, NEAR = 16, 15
+#: A set that more than one in HOT_SHARE documents have (and over HOT_LEAST) is dealt to HOT_SALTS tasks; there are at most HOT_SHARE such sets.
+HOT_SHARE, HOT_LEAST, HOT_SALTS = 1000, 500, 32
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)[:, None]
 _FACTOR = (_rng.integers(0, 1 << 62, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1))[:, None]
@@ -102,84 +106,112 @@ def neighbours(label: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([i for i, _ in pairs]), np.concatenate([j for _, j in pairs])
 
 
+#: 128 fields of two bits, as unsigned integers.
+SKETCH = TREES * DEPTH // 4
+_LOW_BITS = U64(0x5555555555555555)
+
+
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each byte of signatures (a row each), packed."""
+    two = (sig & np.uint8(3)).reshape(len(sig), -1, 4)
+    return (two[..., 0] | two[..., 1] << 2 | two[..., 2] << 4 | two[..., 3] << 6).astype(np.uint8)
+
+
+def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The similarity that sketches (rows of SKETCH bytes) suggest: a quarter of the fields agree by chance."""
+    differ = np.ascontiguousarray(x).view(U64) ^ np.ascontiguousarray(y).view(U64)
+    fields = np.bitwise_count((differ | differ >> U64(1)) & _LOW_BITS).sum(1, dtype=np.int64)
+    return (1 - fields / (SKETCH * 4) - 0.25) / 0.75
+
+
+def floor_of(threshold: float) -> float:
+    """4 standard deviations of an estimate below the threshold."""
+    p = 0.25 + 0.75 * threshold
+    return threshold - 4 * (p * (1 - p) / (SKETCH * 4)) ** 0.5 / 0.75
+
+
+_ROW = "tree int, label bigint, node binary, sketch binary, root binary"
+
+
 def _label_rows(nodes: DataFrame) -> DataFrame:
-    """(tree, label, node): the labels of every node in all trees; labels are ordered as signed numbers."""
-    schema = pa.schema([("tree", pa.int32()), ("label", pa.int64()), ("node", pa.binary())])
+    """(tree, label, node, sketch, root): the labels of every node in all trees, as signed numbers of the same order."""
+    schema = pa.schema([("tree", pa.int32()), ("label", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("root", pa.binary())])
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 5000):
-                batch = whole.slice(at, 5000)
-                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), ">u8").reshape(batch.num_rows, TREES).astype(U64)
-                label = (sig ^ U64(1 << 63)).view(np.int64)
-                yield as_table(schema, tree=np.tile(np.arange(TREES, dtype=np.int32), len(label)), label=label.ravel(), node=batch.column("node").take(pa.array(np.repeat(np.arange(len(label)), TREES))))
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                raw = b"".join(batch.column("sig").to_pylist())
+                label = (np.frombuffer(raw, ">u8").reshape(batch.num_rows, TREES).astype(U64) ^ U64(1 << 63)).view(np.int64)
+                sketch = pa.array([x.tobytes() for x in sketches(np.frombuffer(raw, np.uint8).reshape(batch.num_rows, -1))], pa.binary())
+                rows = pa.array(np.repeat(np.arange(len(label)), TREES))
+                yield as_table(schema, tree=np.tile(np.arange(TREES, dtype=np.int32), len(label)), label=label.ravel(), node=batch.column("node").take(rows), sketch=sketch.take(rows), root=batch.column("root").take(rows))
 
-    return nodes.select("node", "sig").mapInArrow(run, "tree int, label bigint, node binary")
+    return nodes.select("node", "sig", "root").mapInArrow(run, _ROW)
 
 
-_CAND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("tree", pa.int32()), ("label", pa.int64())])
-
-
-def _pair_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of a sorted partition; and, with b null, the rows near its ends, where neighbours are elsewhere."""
-    held, head = None, 0
-    for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            part = batch.slice(at, 20_000)
-            fresh_rows = part.num_rows
-            if held is not None:
-                part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
-            yield from _pairs_of(part, part.num_rows - fresh_rows)
-            if head < REGION:
-                ends = batch.slice(at, min(20_000, REGION - head))
-                head += ends.num_rows
-                yield _ends(ends)
-            held = part.slice(max(0, part.num_rows - REGION))
-    if held is not None:
-        yield _ends(held)
+_CAND = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("est", pa.float64()), ("tree", pa.int32()), ("label", pa.int64()), ("sketch", pa.binary()), ("root", pa.binary())])
+_CAND_DDL = "a binary, b binary, est double, tree int, label bigint, sketch binary, root binary"
 
 
 def _ends(rows: pa.RecordBatch) -> pa.RecordBatch:
-    return as_table(_CAND, a=rows.column("node"), b=pa.nulls(rows.num_rows, pa.binary()), tree=rows.column("tree"), label=rows.column("label"))
+    n = rows.num_rows
+    return as_table(_CAND, a=rows.column("node"), b=pa.nulls(n, pa.binary()), est=pa.nulls(n, pa.float64()), tree=rows.column("tree"), label=rows.column("label"), sketch=rows.column("sketch"), root=rows.column("root"))
 
 
-def _pairs_of(part: pa.RecordBatch, old: int) -> Iterator[pa.RecordBatch]:
-    """Candidates of sorted rows, of which the first `old` were paired among themselves before."""
+def _pairs_of(part: pa.RecordBatch, old: int, floor: float, best: bool) -> pa.RecordBatch:
+    """Candidates of sorted rows that have different roots, of which the first `old` were paired among themselves before; with
+    `best`, of each row the most similar one."""
     tree, label = part.column("tree").to_numpy(), part.column("label").to_numpy()
-    if not len(label):
-        return
     i, j = neighbours(label.view(U64) ^ U64(1 << 63), np.concatenate([[False], np.diff(tree) != 0]))
-    i, j = i[j >= old], j[j >= old]
+    root = np.frombuffer(b"".join(part.column("root").to_pylist()), ">u8").reshape(len(label), 2)
+    sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(len(label), SKETCH)
+    good = (j >= old) & (root[i] != root[j]).any(1)
+    i, j = i[good], j[good]
+    est = estimate(sketch[i], sketch[j])
+    good = est >= floor
+    if best:
+        end, pair = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        order = np.lexsort((pair, -np.where(good, est, -1)[pair], end))
+        first = order[np.concatenate([[True], np.diff(end[order]) != 0])] if len(order) else order
+        good &= np.isin(np.arange(len(i)), pair[first])
+    i, j, n = i[good], j[good], int(good.sum())
     node = part.column("node")
-    a, b = node.take(pa.array(i)), node.take(pa.array(j))
-    yield as_table(_CAND, a=a, b=b, tree=pa.nulls(len(i), pa.int32()), label=pa.nulls(len(i), pa.int64()))
+    none = {c: pa.nulls(n, _CAND.field(c).type) for c in ("tree", "label", "sketch", "root")}
+    return as_table(_CAND, a=node.take(pa.array(i)), b=node.take(pa.array(j)), est=est[good], **none)
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of nodes that are neighbours in an order."""
-    schema = "a binary, b binary, tree int, label bigint"
-    rows = _label_rows(nodes).repartitionByRange("tree", "label", "node").sortWithinPartitions("tree", "label", "node")
-    found = kept(rows.mapInArrow(_pair_rows, schema), "neighbours")
-    ends = found.where("b is null").select("tree", "label", F.col("a").alias("node")).distinct()
-    joined = ends.repartition(1).sortWithinPartitions("tree", "label", "node").mapInArrow(_pair_rows, schema)
-    pairs = found.union(joined).where("b is not null")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-
-
-def _agreement(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, est): the candidates whose share of agreeing signature bytes is not clearly below the threshold."""
-    size = TREES * DEPTH
-    floor = threshold - 4 * (threshold * (1 - threshold) / size) ** 0.5
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("est", pa.float64())])
+def _pair_rows(floor: float, best: bool):
+    """Pairs of a sorted partition; and, with b null, the rows near its ends, where neighbours are elsewhere."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, head = None, 0
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, size) for c in ("sa", "sb"))
-            est = (x == y).mean(1)
-            yield as_table(schema, a=batch.column("a"), b=batch.column("b"), est=est).filter(pa.array(est >= floor))
-
-    a, b = (nodes.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary, est double")
+            for at in range(0, batch.num_rows, 20_000):
+                fresh = batch.slice(at, 20_000)
+                part = fresh if held is None else pa.Table.from_batches([held, fresh]).combine_chunks().to_batches()[0]
+                yield _pairs_of(part, part.num_rows - fresh.num_rows, floor, best)
+                if head < REGION:
+                    first = fresh.slice(0, REGION - head)
+                    head += first.num_rows
+                    yield _ends(first)
+                held = part.slice(max(0, part.num_rows - REGION))
+        if held is not None:
+            yield _ends(held)
+
+    return run
+
+
+def candidates(nodes: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of nodes (node, sig, root) of different roots that are neighbours in an order and may be
+    similar enough; with `best`, of each node the most similar one in each order."""
+    order, pair = ("tree", "label", "node"), _pair_rows(floor_of(threshold), best)
+    rows = _label_rows(nodes).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = kept(rows.mapInArrow(pair, _CAND_DDL), "neighbours")
+    ends = found.where("b is null").select("tree", "label", F.col("a").alias("node"), "sketch", "root").distinct()
+    joined = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(pair, _CAND_DDL)
+    pairs = found.union(joined).where("b is not null")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -214,27 +246,43 @@ def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.dropDuplicates(["__id", "__rth"]).drop("__id", "__rth", "__th")
 
 
+def _linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) for the nodes of confirmed links.
+
+    First each node's most similar neighbour in each order is confirmed, which makes most components whole.  Then all
+    neighbours that still are in different components.
+    """
+    roots = None
+    for best in (True, False):
+        if roots is None:
+            named = nodes.withColumn("root", F.col("node"))
+        else:
+            named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        pairs = kept(candidates(named, percent / 100, best), "candidates")
+        # whole texts of the nodes that have candidates, one text for each
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        owners = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
+        texts = kept(_texts(docs.select("doc_id", "text"), owners).select("node", "text"), "texts")
+        links = kept(confirmed(pairs, texts, words, percent), "links")
+        edges = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = kept(components(edges), "roots")
+    return roots
+
+
 def cluster(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, th, n_shingles, root (null for an empty set) and component_id, a row for each document."""
     signed = kept(signatures(docs, words), "signatures")
-    nodes = signed.where("node is not null").groupBy("node").agg(_first(), F.first("sig").alias("sig"))
-    likely = kept(_agreement(candidates(nodes), nodes, percent / 100), "candidates")
-    # whole texts of the nodes that have candidates, one text for each
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-    owners = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
-    texts = kept(_texts(docs.select("doc_id", "text"), owners).select("node", "text"), "texts")
-    ends = likely.select(F.col("a").alias("n"), "a", "b", "est").union(likely.select("b", "a", "b", "est"))
-    best = ends.withColumn("k", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("est"), "a", "b"))).where("k = 1")
-    first = kept(confirmed(best.select("a", "b").distinct(), texts, words, percent), "links")
-    roots = kept(components(first), "roots")
-    left = likely.select("a", "b")
-    for c in "ab":
-        left = left.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-    more = kept(confirmed(left.where("ra <> rb"), texts, words, percent), "links")
-    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    own = nodes.select("node", F.col("first.doc_id").alias("doc_id")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "root", "component_id")
-    out = signed.drop("sig").join(named, "node", "left")
+    nodes = kept(signed.where("node is not null").groupBy("node").agg(_first(), F.first("sig").alias("sig"), F.count("*").alias("copies")), "nodes")
+    final = _linked(docs, nodes, words, percent)
+    own = nodes.select("node", "copies", F.col("first.doc_id").alias("doc_id")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "copies", "root", "component_id")
+    # back to the documents; sets of very many copies, of which there are few, meet their documents in several tasks
+    many = max(HOT_LEAST, signed.count() // HOT_SHARE)
+    hot = nodes.where(F.col("copies") > many).select("node", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot") | F.col("node").isNull(), F.pmod(F.xxhash64("doc_id", "th"), F.lit(HOT_SALTS))).otherwise(0).cast("int")
+    rows = signed.drop("sig").join(F.broadcast(hot), "node", "left").withColumn("salt", salt)
+    dealt = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > many, HOT_SALTS - 1).otherwise(0))))
+    out = rows.join(dealt, ["node", "salt"], "left")
     return out.select("doc_id", "th", "n_shingles", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

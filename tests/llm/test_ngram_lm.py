@@ -52,3 +52,11 @@ def test_no_training_and_empty(spark):
     (x,) = lm.score(df, HELD).collect()
     assert (x.held_out, x.n_tokens, x.n_known, x.train_tokens, x.base_score, x.score) == (True, 3, 0, 0, 0.0, 0.0)
     assert lm.score(df.limit(0), HELD).count() == 0
+
+
+def test_rare_words_are_states(spark):
+    # three occurrences in over 400,000 tokens: below 1e-5 of them
+    rows = [(100, "the of " * 200_000), *((k, f"rare{k % 5} pair{k % 5} the rare{k % 5}") for k in range(20))]
+    got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), HELD).collect()
+    want = {w[0]: w[6] for w in brute(rows, lm.DISCOUNT, 0.0, lm.MIN_PAIR)}
+    assert {g.doc_id: g.score for g in got} == pytest.approx(want, abs=1e-6)

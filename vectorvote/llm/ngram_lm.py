@@ -7,14 +7,15 @@ Model.  Tokens are words and one end for each text.  With c and N counted over t
     P(w | h)  = L(h) * P1(w)                                          else, by the failure arc of h
     L(h)      = 1 - sum over kept arcs hw of (c(hw) - D) / c(h)
 
-States are the empty history and words that make up SHARE of the training tokens or more (so at most 1 / SHARE of them,
-whatever the corpus); an arc hw is kept if w is such a word too and the pair occurs MIN_PAIR times or more.  A text is read
+States are the empty history and every trained word; an arc hw is kept if the pair occurs MIN_PAIR times or more.  (With `share`,
+only words of that share of the training tokens are states and end arcs.)  A text is read
 once from left to right: the state is the token before; the arc's weight is added, or the failure arc's and the unigram arc's.
 
 Execution.  Texts are packed into chunks of bounded size, written once.  Each chunk sends its distinct tokens (then pairs), packed and
 sorted, to the parts of the key space; a part adds up what all chunks sent, and answers each chunk in the order of its
-question.  So counts cover the whole corpus, each chunk gets just the piece of the automaton that its texts touch, and a
-frequent token is one entry a chunk.  Only L, bounded by 1 / SHARE, is broadcast.
+question.  The parts number the tokens, so a pair is the numbers of its two, and what the arcs take of each history's weight goes from
+the parts of the pairs back to those of the tokens, which answer each chunk once more.  So counts cover the whole corpus, each chunk gets just the piece of the automaton that its texts touch, and a
+frequent token is one entry a chunk.  Nothing is broadcast.  A pair is no more frequent than either word, so words rarer than MIN_PAIR ask for none.
 
 Defined results: null text counts as empty: one token, the end.  A null doc_id is never held out.  Repeated rows count as often as they
 occur and have equal scores.  Without training documents N = V = 0, base_score = 0, and score = 0.  An empty table gives an
@@ -35,12 +36,11 @@ from .shared import kept
 from .text import BLANK_WORDS, SLICE_BYTES, U64, Words, as_table, flat, mix, slices
 
 MODULUS, HELD = 7, 2
-DISCOUNT, SHARE, MIN_PAIR = 0.5, 1e-5, 2
+DISCOUNT, MIN_PAIR = 0.5, 2
 CHUNK_BYTES = 12 << 20
 #: Keys that one part adds up, about.
 PART_KEYS = 1_500_000
 END_KEY = U64(0x0E0D0F0E0D0F0E0D)
-_SECOND = U64(0xD1B54A32D192ED03)
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -112,16 +112,22 @@ class Chunk:
     def token_counts(self) -> np.ndarray:
         return np.bincount(self.index, weights=self.train, minlength=len(self.distinct)).astype(np.uint32)
 
-    def pairs(self, often: np.ndarray):
-        """Distinct (key, history) of neighbouring tokens of one document that are both `often`, their training counts; and each pair's places."""
+    def pairs(self, often: np.ndarray, number: np.ndarray, parts: int):
+        """Distinct pairs of neighbouring tokens of one document that are both `often`, sorted by part: their keys (the history's number
+        above the token's), where each part's begin, their training counts; and each pair's places."""
         inner = np.ones(len(self.keys), dtype=bool)
         inner[self.first[:-1]] = False
         place = np.flatnonzero(inner)
         place = place[often[self.index[place]] & often[self.index[place - 1]]]
-        h, w = self.keys[place - 1], self.keys[place]
-        keys, first, index = np.unique(mix(h * _SECOND + w), return_index=True, return_inverse=True)
+        own = number[self.index]
+        keys, index = np.unique(own[place - 1] << U64(32) | own[place], return_inverse=True)
+        part = (mix(keys) % U64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        where = np.empty(len(order), np.int64)
+        where[order] = np.arange(len(order))
+        index = where[index]
         counts = np.bincount(index, weights=self.train[place], minlength=len(keys)).astype(np.uint32)
-        return keys, h[first], counts, place, index
+        return keys[order], np.searchsorted(part[order], np.arange(parts + 1)), counts, place, index
 
 
 def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -130,62 +136,85 @@ def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, edges), len(keys))
 
 
-_ASK = "part int, chunk bigint, keys binary, histories binary, counts binary"
-_ASK_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("histories", pa.binary()), ("counts", pa.binary())])
-_ANSWER = "kind string, chunk bigint, part int, counts binary, history bigint, mass double, tokens bigint, types bigint"
+_ASK = "part int, chunk bigint, keys binary, counts binary"
+_ASK_ARROW = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ANSWER = "kind string, chunk bigint, part int, counts binary, numbers binary, mass binary, tokens bigint, types bigint"
 
 
-def _questions(chunk: int, keys: np.ndarray, histories: np.ndarray | None, counts: np.ndarray, parts: int) -> pa.RecordBatch:
-    cut = _cuts(keys, parts)
-    rows = [p for p in range(parts) if cut[p] < cut[p + 1]]
-    part = lambda a, pack, p: None if a is None else pack(a[cut[p] : cut[p + 1]])
-    return as_table(_ASK_ARROW, part=rows, chunk=[chunk] * len(rows), keys=[part(keys, _pack_sorted, p) for p in rows], histories=[part(histories, _pack, p) for p in rows], counts=[part(counts, _pack, p) for p in rows])
+def _questions(chunk: int, keys: np.ndarray, cut: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each part of the key space: keys[cut[p] : cut[p + 1]], which are sorted, and their counts."""
+    rows = np.flatnonzero(np.diff(cut)).tolist()
+    part = lambda a, pack, p: pack(a[cut[p] : cut[p + 1]])
+    return as_table(_ASK_ARROW, part=rows, chunk=[chunk] * len(rows), keys=[part(keys, _pack_sorted, p) for p in rows], counts=[part(counts, _pack, p) for p in rows])
 
 
-def _add_up(least: int, discount: float):
-    """For one part of the key space: totals over all chunks, and the answer to each chunk."""
+def _add_up(least: int, discount: float, parts: int, pairs: bool):
+    """For one part of the key space: totals over all chunks, and the answer to each chunk.  Tokens that occur `least` times or more
+    are numbered; pairs that occur less often count as none, and of the others goes to the part of each history what they take."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         every = [_unpack_sorted(x) for x in group["keys"]]
         sizes = np.array([len(x) for x in every])
         distinct, index = np.unique(np.concatenate(every), return_inverse=True)
         total = np.bincount(index, weights=np.concatenate([_unpack(x, np.uint32) for x in group["counts"]]), minlength=len(distinct)).astype(np.int64)
-        total[total < least] = 0
+        if pairs:
+            total[total < least] = 0
         answer = np.minimum(total, (1 << 63) - 1).astype(np.uint64)[index]
+        number = np.cumsum(total >= least, dtype=np.uint64)
+        if not pairs and (int(number[-1]) + 1) * parts >> 32:
+            raise ValueError("too many distinct tokens for numbers of 32 bits")
         ends = np.cumsum(sizes)
         part = group["part"].iloc[0]
-        rows = [("answer", c, part, _pack(answer[e - n : e]), None, None, None, None) for c, n, e in zip(group["chunk"], sizes, ends)]
+        numbers = lambda a, b: None if pairs else _pack_sorted(number[index[a:b]])
+        rows = [("answer", c, part, _pack(answer[e - n : e]), numbers(e - n, e), None, None, None) for c, n, e in zip(group["chunk"], sizes, ends)]
         rows.append(("total", None, part, None, None, None, int(total.sum()), int((total > 0).sum())))
-        if group["histories"].iloc[0] is not None:
-            h = np.empty(len(distinct), np.uint64)
-            h[index] = np.concatenate([_unpack(x, np.uint64) for x in group["histories"]])
+        if pairs:
             seen = total > 0
-            names, place = np.unique(h[seen], return_inverse=True)
+            names, place = np.unique(distinct[seen] >> U64(32), return_inverse=True)
             mass = np.bincount(place, weights=total[seen] - discount, minlength=len(names))
-            rows += [("mass", None, part, None, int(n), float(m), None, None) for n, m in zip(names.view(np.int64), mass)]
-        names = ["kind", "chunk", "part", "counts", "history", "mass", "tokens", "types"]
-        whole = {"chunk", "history", "tokens", "types"}  # nullable integers, never by way of floats
+            home = (names % U64(parts)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            names, mass, cut = names[order] // U64(parts), mass[order], np.searchsorted(home[order], np.arange(parts + 1))
+            rows += [("mass", None, int(p), None, _pack_sorted(names[cut[p] : cut[p + 1]]), _pack(mass[cut[p] : cut[p + 1]]), None, None) for p in np.flatnonzero(np.diff(cut))]
+        names = ["kind", "chunk", "part", "counts", "numbers", "mass", "tokens", "types"]
+        whole = {"chunk", "tokens", "types"}  # nullable integers, never by way of floats
         return pd.DataFrame({x: pd.array(v, "Int64") if x in whole else v for x, v in zip(names, map(list, zip(*rows)))})
 
     return run
 
 
-def _totals(answers: list[bytes], parts: list[int]) -> np.ndarray:
-    order = np.argsort(parts)
-    return np.concatenate([_unpack(answers[k], np.uint64) for k in order]).astype(np.int64) if len(order) else np.zeros(0, np.int64)
+_MASS = "kind string, chunk bigint, part int, counts binary"
+
+
+def _masses(key, asked: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+    """For one part of the tokens: what the kept arcs of each token that a chunk asked for take, in the order of the question."""
+    own = [_unpack_sorted(x).astype(np.int64) for x in asked["numbers"]]
+    mass = np.zeros(1 + max((int(x[-1]) for x in own), default=0))
+    for numbers, taken in zip(said["numbers"], said["mass"]):
+        mass[_unpack_sorted(numbers).astype(np.int64)] += _unpack(taken, np.float64)
+    return pd.DataFrame({"kind": "mass", "chunk": asked["chunk"], "part": asked["part"], "counts": [_pack(mass[x]) for x in own]})
+
+
+def _totals(answers: pd.DataFrame, kind: type = np.uint64, to: type = np.int64) -> np.ndarray:
+    order = np.argsort(answers["part"].to_numpy())
+    return np.concatenate([_unpack(answers["counts"].iloc[k], kind) for k in order]).astype(to) if len(order) else np.zeros(0, to)
+
+
+def _numbers(answers: pd.DataFrame, parts: int) -> np.ndarray:
+    """The number of each token of a chunk, of which parts make every parts-th; those of rare tokens mean nothing."""
+    at = answers.sort_values("part")
+    return np.concatenate([np.zeros(0, U64), *(_unpack_sorted(x) * U64(parts) + U64(p) for x, p in zip(at["numbers"], at["part"]))])
 
 
 class Automaton:
     """The piece of the automaton that one chunk's texts touch, with its weights in log10."""
 
-    def __init__(self, chunk: Chunk, count: np.ndarray, tokens: int, types: int, histories: np.ndarray, mass: np.ndarray, pair_count: np.ndarray, pair_history: np.ndarray, pair_token: np.ndarray, discount: float):
+    def __init__(self, chunk: Chunk, count: np.ndarray, tokens: int, types: int, mass: np.ndarray, pair_count: np.ndarray, pair_history: np.ndarray, pair_token: np.ndarray, discount: float):
         rest = discount * types / (types + 1)
         self.unigram = np.log10((np.maximum(count - discount, 0) + rest) / max(tokens, 1)) if tokens else np.zeros(len(count))
-        # a state for each history; failure weight L(h)
-        at = np.minimum(np.searchsorted(histories, chunk.distinct), max(len(histories) - 1, 0))
-        is_state = (histories[at] == chunk.distinct) if len(histories) else np.zeros(len(chunk.distinct), dtype=bool)
-        left = np.where(is_state, 1 - (mass[at] if len(mass) else 0) / np.maximum(count, 1), 1.0)
-        self.failure = np.where(is_state, np.log10(np.maximum(left, 1e-300)), 0.0)
+        # a state for each token; failure weight L(h)
+        left = 1 - mass / np.maximum(count, 1)
+        self.failure = np.log10(np.maximum(left, 1e-300))
         # arcs of the states
         self.kept = pair_count > 0
         h, w = pair_history, pair_token
@@ -207,7 +236,7 @@ class Automaton:
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score(docs: DataFrame, held: str, discount: float = DISCOUNT, share: float = SHARE, min_pair: int = MIN_PAIR) -> DataFrame:
+def score(docs: DataFrame, held: str, discount: float = DISCOUNT, share: float = 0.0, min_pair: int = MIN_PAIR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.  `held` is an SQL condition on a row's doc_id."""
     spark = docs.sparkSession
     packed = kept(chunks(docs, held), "texts")
@@ -218,43 +247,40 @@ def score(docs: DataFrame, held: str, discount: float = DISCOUNT, share: float =
         for batch in batches:
             for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
                 c = Chunk(row)
-                yield _questions(row["chunk"], c.distinct, None, c.token_counts(), parts)
+                yield _questions(row["chunk"], c.distinct, _cuts(c.distinct, parts), c.token_counts())
 
-    tokens_said = kept(packed.mapInArrow(ask_tokens, _ASK).groupBy("part").applyInPandas(_add_up(0, discount), _ANSWER), "tokens")
+    tokens_said = kept(packed.mapInArrow(ask_tokens, _ASK).groupBy("part").applyInPandas(_add_up(min_pair, discount, parts, False), _ANSWER), "tokens")
     n = tokens_said.where("kind = 'total'").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = int(n["n"] or 0), int(n["v"] or 0)
-    often = max(1, share * tokens)
-    answers = tokens_said.where("kind = 'answer'").select("kind", "chunk", "part", "counts")
+    often = max(1, share * tokens, min_pair)  # a pair with a rarer token is too rare
+    answers = tokens_said.where("kind = 'answer'").select("kind", "chunk", "part", "counts", "numbers")
 
     def ask_pairs(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame({c: [] for c in _ASK_ARROW.names})
         c = Chunk(left.iloc[0].to_dict())
-        count = _totals(right["counts"].tolist(), right["part"].tolist())
-        keys, h, counts, _, _ = c.pairs(count >= often)
-        return _questions(int(key[0]), keys, h, counts, parts).to_pandas()
+        count = _totals(right)
+        keys, cut, counts, _, _ = c.pairs(count >= often, _numbers(right, parts), parts)
+        return _questions(int(key[0]), keys, cut, counts).to_pandas()
 
     questions = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(ask_pairs, _ASK)
-    pairs_said = kept(questions.groupBy("part").applyInPandas(_add_up(min_pair, discount), _ANSWER), "pairs")
-    # at most 1 / share histories, whatever the corpus
-    masses = pairs_said.where("kind = 'mass'").groupBy("history").agg(F.sum("mass").alias("mass")).toPandas()
-    names = masses["history"].to_numpy(np.int64).view(np.uint64) if len(masses) else np.zeros(0, np.uint64)
-    order = np.argsort(names)
-    states = spark.sparkContext.broadcast((names[order], masses["mass"].to_numpy(np.float64)[order] if len(masses) else np.zeros(0)))
-    more = pairs_said.where("kind = 'answer'").select(F.lit("pair").alias("kind"), "chunk", "part", "counts")
+    pairs_said = kept(questions.groupBy("part").applyInPandas(_add_up(min_pair, discount, parts, True), _ANSWER), "pairs")
+    said = pairs_said.where("kind = 'mass'").select("part", "numbers", "mass")
+    masses = answers.select("part", "chunk", "numbers").groupBy("part").cogroup(said.groupBy("part")).applyInPandas(_masses, _MASS)
+    more = masses.union(pairs_said.where("kind = 'answer'").select(F.lit("pair").alias("kind"), "chunk", "part", "counts")).withColumn("numbers", F.lit(None).cast("binary"))
 
     def finish(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names_out = [x.split()[0] for x in _OUT.split(", ")]
         if not len(left):
             return pd.DataFrame({c: [] for c in names_out})
         c = Chunk(left.iloc[0].to_dict())
-        own, pair = right[right["kind"] == "answer"], right[right["kind"] == "pair"]
-        count = _totals(own["counts"].tolist(), own["part"].tolist())
-        keys, _, _, place, index = c.pairs(count >= often)
-        pair_count = _totals(pair["counts"].tolist(), pair["part"].tolist())
+        own, mass, pair = (right[right["kind"] == kind] for kind in ("answer", "mass", "pair"))
+        count = _totals(own)
+        keys, _, _, place, index = c.pairs(count >= often, _numbers(own, parts), parts)
+        pair_count = _totals(pair)
         first = np.zeros(len(keys), np.int64)
         first[index] = place
-        model = Automaton(c, count, tokens, types, *states.value, pair_count, c.index[first - 1], c.index[first], discount)
+        model = Automaton(c, count, tokens, types, np.where(count >= often, _totals(mass, np.float64, np.float64), 0), pair_count, c.index[first - 1], c.index[first], discount)
         base = np.log10((count + 1) / (tokens + types + 1))[c.index]
         return pd.DataFrame(
             {

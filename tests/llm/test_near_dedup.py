@@ -57,3 +57,14 @@ def test_against_brute_force(spark, words):
     full = brute(rows, words, 80)
     assert sorted(map(str, ids)) == sorted(map(str, [*{i for i, n, c in full if n and i is not None and i == c}, 900, 901, 902, None]))
     assert nd.cluster(df.limit(0)).count() == 0
+
+
+def test_pairs_in_a_large_region(spark):
+    # texts that share a template, at a Jaccard similarity of 0.7 or so; every one has a partner, at 0.85 or so
+    shared = " ".join(f"t{k}" for k in range(250))
+    rows = []
+    for k in range(400):
+        own = [f"a{k}x{i}" for i in range(45)]
+        rows += [(2 * k, f"{shared} {' '.join(own)}"), (2 * k + 1, f"{shared} {' '.join(own[:25])} {' '.join(f'b{k}x{i}' for i in range(20))}")]
+    got = {x.doc_id: x.component_id for x in nd.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()}
+    assert got == {i: i // 2 * 2 for i in got}

@@ -13,6 +13,10 @@
    neighbour in each order; then all neighbours that still are in different components.  Pairs inside a component can't change
    the result and aren't compared.
 
+5. Regions of over REGION nodes that still hold several components are settled exactly, whatever their size: their nodes' shingles
+   are ordered by how common they are, and nodes that share one of their rarest shingles, as all pairs above the threshold do, are
+   compared unless their sizes and the shingles' places rule it out.  So the limits of step 2 lose no link.
+
 Components come from alternating star rounds.  No link, set or component is collected on the driver.
 
 Defined results: words are split at ASCII white space, A-Z lower-cased.  Null, empty or wordless text has an empty set: it is
@@ -246,24 +250,92 @@ def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.dropDuplicates(["__id", "__rth"]).drop("__id", "__rth", "__th")
 
 
+#: Counters of how common shingles are; shingles that share one only make the order less apt.
+COUNTERS = 1 << 16
+
+
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """The nodes (node, sig, root) that share MIN_DEPTH bytes of an order with more than REGION - 1 others, not all of one root."""
+    rows = _label_rows(nodes).select("tree", F.shiftright("label", 8 * (DEPTH - MIN_DEPTH)).alias("top"), "node", "root")
+    region = rows.groupBy("tree", "top").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    return rows.join(region.where((F.col("n") > REGION) & (F.col("least") < F.col("most"))), ["tree", "top"]).select("node", "root").distinct()
+
+
+def _rare_pairs(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of texts (node, root, text) of different roots: all that reach the threshold, and few others."""
+
+    def count(batches):
+        for whole in batches:
+            n = np.zeros(COUNTERS, np.int64)
+            for batch in slices(whole, "text"):
+                for s in sets(*flat(batch.column("text")), words):
+                    n += np.bincount((s % U64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            seen = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], names=["slot", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    common = np.zeros(COUNTERS, np.int64)
+    common[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
+    common = texts.sparkSession.sparkContext.broadcast(common)
+    schema = pa.schema([("g", pa.int64()), ("node", pa.binary()), ("root", pa.binary()), ("n", pa.int64()), ("place", pa.int64())])
+
+    def rarest(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                grams, size, place, row = [], [], [], []
+                for k, s in enumerate(sets(*flat(batch.column("text")), words)):
+                    n = len(s)
+                    first = n + percent * n // -100 + 1
+                    order = np.lexsort((s, common.value[(s % U64(COUNTERS)).astype(np.int64)]))[:first]
+                    grams.append(s[order].view(np.int64))
+                    size.append(np.full(first, n))
+                    place.append(np.arange(first))
+                    row.append(np.full(first, k))
+                rows = pa.array(np.concatenate(row))
+                yield as_table(schema, g=np.concatenate(grams), node=batch.column("node").take(rows), root=batch.column("root").take(rows), n=np.concatenate(size), place=np.concatenate(place))
+
+    rare = kept(texts.select("node", "root", "text").mapInArrow(rarest, "g bigint, node binary, root binary, n bigint, place bigint"), "rare")
+    x, y = (rare.select("g", *(F.col(c).alias(c + k) for c in ("node", "root", "n", "place"))) for k in "xy")
+    # of the smaller set the places that a shared shingle has at the latest
+    y = y.where(f"placey <= ny - ceil(2 * {percent} * ny / {100 + percent})")
+    larger = (F.col("nx") > F.col("ny")) | (F.col("nx") == F.col("ny")) & (F.col("nodex") > F.col("nodey"))
+    enough = F.expr(f"least(nx - placex, ny - placey) * {100 + percent} >= {percent} * (nx + ny)")
+    pairs = x.join(y, "g").where(larger & enough & (F.col("rootx") != F.col("rooty")))
+    return pairs.select(F.least("nodex", "nodey").alias("a"), F.greatest("nodex", "nodey").alias("b")).distinct()
+
+
+def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the wanted nodes, one text for each."""
+    owners = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
+    return kept(_texts(docs.select("doc_id", "text"), owners).select("node", "text"), "texts")
+
+
 def _linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) for the nodes of confirmed links.
 
     First each node's most similar neighbour in each order is confirmed, which makes most components whole.  Then all
-    neighbours that still are in different components.
+    neighbours that still are in different components; and then all pairs of the regions that were too large.
     """
     roots = None
-    for best in (True, False):
+    for step in ("best", "all", "crowded"):
         if roots is None:
             named = nodes.withColumn("root", F.col("node"))
         else:
             named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = kept(candidates(named, percent / 100, best), "candidates")
-        # whole texts of the nodes that have candidates, one text for each
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        owners = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
-        texts = kept(_texts(docs.select("doc_id", "text"), owners).select("node", "text"), "texts")
+        if step == "crowded":
+            crowded = kept(_crowded(named), "crowded")
+            if crowded.isEmpty():
+                break
+            texts = _texts_of(docs, nodes, crowded.select("node"))
+            pairs = kept(_rare_pairs(texts.join(crowded, "node"), words, percent), "candidates")
+            if pairs.isEmpty():
+                break
+        else:
+            pairs = kept(candidates(named, percent / 100, step == "best"), "candidates")
+            texts = _texts_of(docs, nodes, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         links = kept(confirmed(pairs, texts, words, percent), "links")
+        if step == "crowded" and links.isEmpty():
+            break
         edges = links if roots is None else links.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = kept(components(edges), "roots")
     return roots

@@ -1,6 +1,6 @@
 """Line deduplication by overlapping three-line windows.
 
-Each run of three consecutive lines that aren't blank is hashed.  Windows that occur more than once in the corpus are found
+Each run of three consecutive lines that aren't blank is hashed to 128 bits.  Windows that occur more than once in the corpus are found
 by one aggregation; the first occurrence, by (doc_id, text hash, position), stays, and every line that a later
 occurrence covers is removed.  Overlapping occurrences merge, since lines are covered once.
 
@@ -43,8 +43,8 @@ def _lines(buf: np.ndarray, offs: np.ndarray):
 
 
 def line_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), pos (of the first line, among those that aren't blank), h: a row for each window."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
+    """doc_id, th (hash of the text), pos (of the first line, among those that aren't blank), h and g (two hashes): a row for each window."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("g", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -54,21 +54,21 @@ def line_windows(docs: DataFrame) -> DataFrame:
                 start, end, owner = start[ink], end[ink], owner[ink]
                 if len(start) < SIZE:
                     continue
-                h = windows(span_hashes(buf, start, end), SIZE)
+                h, g = (windows(span_hashes(buf, start, end, key), SIZE) for key in (0, 1))
                 same = np.flatnonzero(owner[: len(h)] == owner[SIZE - 1 :])
                 first = np.searchsorted(owner, np.arange(batch.num_rows))
                 rows = owner[same]
-                yield as_table(schema, doc_id=batch.column("doc_id").take(pa.array(rows)), th=batch.column("th").take(pa.array(rows)), pos=(same - first[rows]).astype(np.int32), h=h[same].view(np.int64))
+                yield as_table(schema, doc_id=batch.column("doc_id").take(pa.array(rows)), th=batch.column("th").take(pa.array(rows)), pos=(same - first[rows]).astype(np.int32), h=h[same].view(np.int64), g=g[same].view(np.int64))
 
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, pos int, h bigint")
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "doc_id bigint, th bigint, pos int, h bigint, g bigint")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, at: for each document with later occurrences, the positions at which they begin."""
     found = line_windows(docs)
     place = F.struct("doc_id", "th", "pos")
-    groups = found.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = found.join(groups, "h").where(place != F.col("first"))
+    groups = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = found.join(groups, ["h", "g"]).where(place != F.col("first"))
     return later.groupBy("doc_id", "th").agg(F.collect_set("pos").alias("at"))
 
 

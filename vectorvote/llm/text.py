@@ -7,6 +7,7 @@ slices of bounded bytes first; a single document larger than the bound forms a s
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +15,6 @@ import pyarrow as pa
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
-#: An odd base and its inverse modulo 2**64, for rolling polynomial hashes.
-BASE = 0x9E3779B97F4A7C15
-BASE_INV = pow(BASE, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -27,23 +25,6 @@ BLANK_WORDS[[32, *range(9, 14)]] = False
 ALNUM_WORDS = np.zeros(256, dtype=bool)
 ALNUM_WORDS[48:58] = ALNUM_WORDS[97:123] = ALNUM_WORDS[128:] = True
 
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, cached and grown by doubling."""
-    got = _powers.get(base)
-    if got is None or len(got) < n:
-        got = np.ones(1, dtype=U64)
-        size = 1
-        while size < max(n, SLICE_BYTES + 1):
-            got = np.concatenate([got, got * U64(pow(base, size, 1 << 64))])
-            size *= 2
-        if size <= 8 * SLICE_BYTES:
-            _powers[base] = got
-    return got[:n]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: spreads every input bit."""
     h = (h ^ (h >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -98,13 +79,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's lower-cased bytes."""
-        n = len(self.low)
-        if not len(self.start):
-            return np.zeros(0, U64)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((self.low.astype(U64) + U64(1)) * powers(BASE, n), out=sums[1:])
-        raw = (sums[self.end] - sums[self.start]) * powers(BASE_INV, n)[self.start]
-        return mix(raw + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return span_hashes(self.low, self.start, self.end)
 
     def of(self) -> np.ndarray:
         """The document of each word."""
@@ -122,13 +97,56 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range of buf."""
-    n = len(buf)
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum((buf.astype(U64) + U64(1)) * powers(BASE, n), out=sums[1:])
-    raw = (sums[end] - sums[start]) * powers(BASE_INV, n + 1)[start]
-    return mix(raw + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+#: Longer ranges are hashed and compared one by one.
+SHORT = 64
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+_STEP, _KEY = U64(0x9FB21C651E98DF25), (U64(0x2545F4914F6CDD1D), U64(0xD1342543DE82EF95))
+
+
+def words_of(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a little-endian number; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte range of buf; `key` picks one of two independent functions.
+
+    Blocks of eight bytes go through a chain that is mixed after every block, so no sum of blocks cancels out; ranges of over
+    SHORT bytes are hashed by keyed BLAKE2b.
+    """
+    size = end - start
+    h = mix(size.astype(U64) + _KEY[key])
+    eight = words_of(buf)
+    live, at, left = np.arange(len(start)), start, size
+    for _ in range(SHORT // 8):
+        h[live] = mix((h[live] ^ (eight[at] & _MASK[np.minimum(left, 8)])) * _STEP + _KEY[1 - key])
+        more = left > 8
+        if not more.any():
+            break
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    salt = int(_KEY[key]).to_bytes(8, "little")
+    for k in np.flatnonzero(size > SHORT).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(buf[start[k] : end[k]].tobytes(), digest_size=8, key=salt).digest(), "little")
+    return h
+
+
+def equal_spans(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ranges of `size` bytes from x_start in x and from y_start in y hold the same bytes."""
+    same = np.ones(len(size), dtype=bool)
+    ex, ey = words_of(x), words_of(y)
+    live, left = np.arange(len(size)), size
+    for step in range(SHORT // 8):
+        differ = ((ex[x_start[live] + 8 * step] ^ ey[y_start[live] + 8 * step]) & _MASK[np.minimum(left, 8)]) != 0
+        same[live[differ]] = False
+        more = (left > 8) & ~differ
+        if not more.any():
+            break
+        live, left = live[more], left[more] - 8
+    for k in np.flatnonzero(same & (size > SHORT)).tolist():
+        same[k] = (x[x_start[k] : x_start[k] + size[k]] == y[y_start[k] : y_start[k] + size[k]]).all()
+    return same
 
 
 def as_table(schema: pa.Schema, **columns) -> pa.RecordBatch:

@@ -36,10 +36,30 @@ def test_pieces_by_recursion_and_by_heap():
     own = bpe.loaded(*bpe._vocabulary())
     r = random.Random(4)
     pieces = ["".join(r.choice("abcdefghie ntrsö") for _ in range(r.randint(2, 60))).encode() for _ in range(300)]
-    pieces = [p for p in pieces if len(p) <= bpe.LONG_PIECE and p not in own.ranks]
+    pieces += [("".join(r.choice(some) for _ in range(r.randint(66, 900)))).encode() for some in ("abcdefghie ntrsö", "ab", "=", "日本語の", "thequickbrown") for _ in range(8)]
+    pieces = [p for p in pieces if len(p) <= bpe.HUGE_PIECE and p not in own.ranks]
     assert own.encode_pieces(pieces) == [own._heap(p) for p in pieces]
 
 
+def test_ranks_that_lower_ones_follow(tmp_path):
+    """A vocabulary in which contracting a pair may bring up a lower rank."""
+    tokens = [bytes([b]) for b in range(256)] + [b"aba", b"ab", b"abab", b"ba", b"bab"]
+    (tmp_path / "r").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+    own = bpe.Bpe(str(tmp_path / "r"), P.PATTERN)
+    r = random.Random(1)
+    pieces = ["".join(r.choice("ab") for _ in range(r.randint(2, n))).encode() for n in (30, 200) for _ in range(60)]
+    assert own.encode_pieces(pieces) == [[own.ranks[p]] if p in own.ranks else own._heap(p) for p in pieces]
+
+
+def test_a_very_long_text():
+    enc, own = reference(), bpe.loaded(*bpe._vocabulary())
+    t = " ".join(f"word{k % 5000} été {k}" for k in range(160_000))
+    raw = t.encode()
+    ids, first = own.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert ids.tolist() == enc.encode_ordinary(t) and len(ids) > bpe.IDS
+    assert own.digests(ids, first) == [hashlib.sha256(raw).hexdigest()]
+
+
 def test_rows(spark):
     enc = reference()
     rows = [(1, None), (2, ""), (3, "one two two"), (3, "one two two"), (None, "é  x " * 20_000)]

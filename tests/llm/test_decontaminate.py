@@ -45,7 +45,21 @@ def test_against_brute_force(spark):
         want[(i, len(w))] = (len(hit), sorted(map(str, ids)))
     got = {(x.doc_id, x.n_words): (x.n_hit, list(x["items"])) for x in d.report(df, bench).collect()}
     assert got == want
+    many = {(x.doc_id, x.n_words): (x.n_hit, list(x["items"])) for x in d.report(df, bench, block_items=1).collect()}  # a block for each item
+    assert many == want
     clean = {(x.doc_id, x.text) for x in d.remove(df, bench).where("doc_id is null or doc_id >= 90").collect()}
     assert clean == {(90, None), (91, ""), (92, "x " * 40_000 + " x" * 9), (92, "x "), (None, " tail")}
     assert d.report(df, bench.limit(0)).where("contaminated").count() == 0
     assert d.remove(df.limit(0), bench).count() == 0
+
+
+def test_a_worker_holds_one_block_and_long_texts_are_whole(spark):
+    import pyarrow as pa
+
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(12))) for k in range(30)]
+    blocks = d.benchmark_blocks(spark.createDataFrame(items, "item_id long, text string"), block_items=4)
+    assert len(blocks) == 8
+    text = " ".join(["filler", "words"] * 200_000 + [t for _, t in items])
+    n_words, n_hit, found, _ = d._scan(pa.RecordBatch.from_pydict({"text": [text, None]}), blocks)
+    assert (n_words.tolist(), n_hit.tolist(), found) == ([400_360, 0], [360, 0], {0: set(range(30))})
+    assert d._held[0] is blocks[-1] and len(d._held[1].items) <= 4

@@ -7,12 +7,14 @@ positions sampled at every SAMPLE-th place.  All windows of the benchmark are se
 rank a step; each occurrence is located by walking to the next sampled position.  Spans of occurrences are merged and
 can be removed.
 
-The benchmark is read in blocks of at most BLOCK_ITEMS items and BLOCK_WORDS words, each broadcast by itself, so
-what is broadcast has a fixed bound whatever the benchmark's size; documents are never shuffled.
+The benchmark is read in blocks of at most BLOCK_ITEMS items and about BLOCK_WORDS words (or one item), each broadcast by itself; the driver
+and a Python worker hold one block at a time, whatever the benchmark's size, and the hits of all blocks are merged.  What the
+broadcasts take on an executor's disk grows with the benchmark.  Documents are never shuffled.
 
 Defined results: null or empty text has no words and no hits; null or empty item text has no window.  An item of
 fewer than `size` words is one window.  Items of equal text are all listed.  Equal item_ids count once.  Repeated rows get
-equal results.  With an empty benchmark nothing is hit.  Extra columns pass through `remove`.
+equal results.  With an empty benchmark nothing is hit; an empty table of documents gives an empty result.  A very long text is a
+shard by itself, handled whole, with memory in proportion to its words.  Extra columns pass through `remove`.
 Words are compared by a 64-bit hash of their lower-cased bytes.
 """
 
@@ -209,35 +211,50 @@ def benchmark_blocks(benchmark: DataFrame, size: int = SIZE, block_items: int =
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+_held: tuple[object, Windows | None] = (None, None)
+
+
+def _windows(block) -> Windows:
+    """A block's windows; a worker keeps those of the last block it used."""
+    global _held
+    if _held[0] is not block:
+        _held = (None, None)
+        path = getattr(block, "_path", None)  # loading by path doesn't keep the value beside the broadcast
+        _held = (block, block.load_from_path(path) if path else block.value)
+    return _held[1]
+
+
 def _scan(batch: pa.RecordBatch, blocks: list):
     """Per document: words, and of those hit; the item_ids; and the merged byte spans of hit words, with the document of each."""
     n = batch.num_rows
-    shards = [Shard(b.value) for b in blocks]
     n_words, base, byte0, row0 = np.zeros(n, np.int64), 0, 0, 0
-    starts, ends = [], []
+    starts, ends, parts = [], [], []
     for part in slices(batch, "text"):
         buf, offs = flat(part.column("text"))
         words = Words(buf, offs, ALNUM_WORDS)
-        doc, h = words.of() + row0, words.hashes()
+        h = words.hashes()
         n_words[row0 : row0 + part.num_rows] = np.diff(words.first)
-        for shard in shards:
-            shard.add(h, doc, base)
+        parts.append((h, words.of() + row0, base))
         starts.append((words.start + byte0).astype(np.int64))
         ends.append((words.end + byte0).astype(np.int64))
         base, byte0, row0 = base + len(h), byte0 + len(buf), row0 + part.num_rows
     items: dict[int, set] = {}
     place, docs = [], []
-    for shard in shards:
+    for block in blocks:
+        w = _windows(block)
+        shard = Shard(w)
+        for h, doc, first in parts:
+            shard.add(h, doc, first)
         at, doc, window = shard.hits()
         if not len(at):
             continue
-        span = shard.w.length[window]
+        span = w.length[window]
         place.append(np.repeat(at - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum()))
         docs.append(np.repeat(doc, span))
-        for pair in np.unique(doc * (len(shard.w.length) + 1) + window):
-            d, k = divmod(int(pair), len(shard.w.length) + 1)
+        for pair in np.unique(doc * (len(w.length) + 1) + window):
+            d, k = divmod(int(pair), len(w.length) + 1)
             own = items.setdefault(d, set())
-            own.update(shard.w.items[i] for i in shard.w.owners[shard.w.owner_at[k] : shard.w.owner_at[k + 1]])
+            own.update(w.items[i] for i in w.owners[w.owner_at[k] : w.owner_at[k + 1]])
     n_hit = np.zeros(n, np.int64)
     spans = (np.zeros(0, np.int64),) * 3
     if place:
@@ -256,9 +273,9 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slices(batch, "text", 16 << 20)
 
 
-def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (ids as text, sorted), spans (start and end in bytes of UTF-8), contaminated."""
-    blocks = benchmark_blocks(benchmark, size)
+    blocks = benchmark_blocks(benchmark, size, block_items)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", span)])
 

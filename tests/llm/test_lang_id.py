@@ -1,4 +1,8 @@
+import os
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vectorvote.llm import lang_id
@@ -34,6 +38,50 @@ def test_held_out_accuracy_and_cases(spark):
     assert all(0 <= x.score <= 1 for x in got)
 
 
+def test_machines_reach_the_solution():
+    """The weights are a minimum: their gradient, written out here in plain sums, is small against that of none."""
+    r = np.random.default_rng(2)
+    y = np.where(r.random(60) < 0.3, 1.0, -1.0).astype(np.float32)
+    x = np.hstack([r.normal(size=(60, 5)) + 0.8 * y[:, None], np.ones((60, 1))]).astype(np.float32)
+
+    def gradient(w):
+        g = w.copy()
+        for a, b in zip(x.astype(float), y):
+            g -= 2 * 40 * 0.5 / (y == b).sum() * b * max(0.0, 1 - b * (a @ w)) * a
+        return np.abs(g).max()
+
+    w = lang_id._svm(x, y[:, None], rounds=2000)[:, 0].astype(float)
+    assert gradient(w) < 1e-3 * gradient(np.zeros(6))
+    assert np.allclose(lang_id._svm(np.vstack([x, x]), np.concatenate([y, 0 * y])[:, None], rounds=2000)[:, 0], w, atol=1e-3)
+
+
+DATA = "/root/testdata/sf0.01/documents.parquet"
+
+
+@pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")
+def test_stage_rejects_what_is_no_learned_language(spark):
+    r = random.Random(3)
+    noise = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(600))
+    df = spark.read.parquet(DATA)
+    more = [(-1, noise, None, "s", 1), (-2, "zażółć gęślą jaźń które jest bardzo dobrze w polsce nie wiem czy to", None, "s", 1), (-3, None, "en", "s", 0), (-4, "12 34", "en", "s", 0)]
+    both = df.union(spark.createDataFrame(more, df.schema))
+    kept = {x.doc_id for x in lang_id.keep_identified(both).collect()}
+    assert kept == {x.doc_id for x in df.collect() if lang_id._has_letter(x.text)}
+
+
+def test_stage_without_labels_keeps_nothing(spark):
+    none = frame(spark, 40).withColumn("lang", F.lit(None).cast("string"))
+    assert lang_id.keep_identified(none).count() == 0
+
+
+def test_sample_is_bounded_and_of_the_smallest_hashes(spark):
+    df = frame(spark)
+    got = lang_id.training_sample(df, 10).groupBy("lang").count().collect()
+    assert {x["lang"]: x["count"] for x in got} == {"en": 10, "de": 10, "fr": 10, "es": 10}
+    every = df.where("lang = 'fr' and text is not null").where(~lang_id.held_out()).orderBy(F.xxhash64("doc_id", F.lit(9))).limit(10)
+    assert sorted(x.text for x in every.collect()) == sorted(x.text for x in lang_id.training_sample(df, 10).where("lang = 'fr'").collect())
+
+
 def test_lang_is_no_input_of_a_prediction(spark):
     df = frame(spark, 200)
     model = lang_id.fit(df)

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from vectorvote.llm import near_dedup as nd
-from vectorvote.llm.components import components
+from vectorvote.llm.components import components, spread_join
 
 
 def test_components(spark):
@@ -13,8 +13,25 @@ def test_components(spark):
         for a, b in edges:
             if a != b:
                 root[a] = root[b] = min(root[a], root[b])
-    got = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == root
+    df = spark.createDataFrame(edges, "a long, b long").repartition(6)
+    assert {x.node: x.root for x in components(df).collect()} == root
+    # tasks that see few edges each need rounds
+    assert {x.node: x.root for x in components(df, task_edges=40).collect()} == root
+    assert components(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_spread(spark):
+    left = spark.createDataFrame([(k, k % 7 if k % 3 else 100) for k in range(900)], "k long, key long")
+    right = spark.createDataFrame([(k, -k) for k in (0, 1, 2, 3, 100)], "key long, v long")
+    got = {x.k: (x.key, x.v) for x in spread_join(left, right, "key", "k", 50).collect()}
+    assert got == {k: (key, {0: 0, 1: -1, 2: -2, 3: -3, 100: -100}.get(key)) for k, key in ((k, k % 7 if k % 3 else 100) for k in range(900))}
+
+
+def test_node_names_follow_doc_id(spark):
+    ids = [None, -(1 << 63), -5, -1, 0, 3, 1 << 40, (1 << 63) - 1]
+    rows = spark.createDataFrame([(i, 7) for i in ids], "doc_id long, th long").groupBy("doc_id").agg(nd._first()).withColumn("key", nd._key())
+    got = rows.select("key", nd._doc_id("key").alias("i")).orderBy("key").collect()
+    assert [x.i for x in got] == [*ids[1:], None] and all(len(x.key) == 16 for x in got)
 
 
 def brute(rows, words, percent):

@@ -17,12 +17,14 @@
    are ordered by how common they are, and nodes that share one of their rarest shingles, as all pairs above the threshold do, are
    compared unless their sizes and the shingles' places rule it out.  So the limits of step 2 lose no link.
 
-Components come from alternating star rounds.  No link, set or component is collected on the driver.
+A node's name is the place of its first document in the order of doc_id, so a component's least node names its smallest doc_id.
+Components come from local contraction (see `components`).  No link, set or component is collected on the driver.
 
-Defined results: words are split at ASCII white space, A-Z lower-cased.  Null, empty or wordless text has an empty set: it is
+Defined results: words are split at ASCII white space, A-Z lower-cased.  Null, empty or wordless text has an empty set, however many there are: it is
 linked with nothing, and is its own component.  With fewer than `words` words the whole sequence is the one shingle.
 Repeated rows have equal sets, so they are linked.  A component's id is its smallest doc_id; nulls are passed over, unless
-all are null.  An empty table gives an empty result; extra columns pass through `keep_first`.
+all are null.  A very long text is handled whole; its signature needs memory in proportion to its words.  An empty table gives an
+empty result; extra columns pass through `keep_first`.
 """
 
 from __future__ import annotations
@@ -33,14 +35,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .components import components
+from .components import components, hot_least, spread_join
 from .shared import kept
 from .text import BLANK_WORDS, U64, Words, as_table, flat, mix, slices, windows
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 4
 REGION, NEAR = 16, 15
-#: A set that more than one in HOT_SHARE documents have (and over HOT_LEAST) is dealt to HOT_SALTS tasks; there are at most HOT_SHARE such sets.
-HOT_SHARE, HOT_LEAST, HOT_SALTS = 1000, 500, 32
+#: Rows at the ends of partitions that one task pairs, about.
+END_ROWS = 200_000
 _rng = np.random.default_rng(20240229)
 _FLIP = _rng.integers(0, 1 << 63, TREES * DEPTH, dtype=np.uint64)[:, None]
 _FACTOR = (_rng.integers(0, 1 << 62, TREES * DEPTH, dtype=np.uint64) * U64(2) + U64(1))[:, None]
@@ -210,12 +212,19 @@ def candidates(nodes: DataFrame, threshold: float, best: bool) -> DataFrame:
     """Distinct pairs (a, b), a < b, of nodes (node, sig, root) of different roots that are neighbours in an order and may be
     similar enough; with `best`, of each node the most similar one in each order."""
     order, pair = ("tree", "label", "node"), _pair_rows(floor_of(threshold), best)
-    rows = _label_rows(nodes).repartitionByRange(*order).sortWithinPartitions(*order)
-    found = kept(rows.mapInArrow(pair, _CAND_DDL), "neighbours")
-    ends = found.where("b is null").select("tree", "label", F.col("a").alias("node"), "sketch", "root").distinct()
-    joined = ends.repartition(1).sortWithinPartitions(*order).mapInArrow(pair, _CAND_DDL)
-    pairs = found.union(joined).where("b is not null")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    rows, parts, found = _label_rows(nodes).repartitionByRange(*order), int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), []
+    while True:  # the rows near the ends of partitions meet in an order of their own, until that is one partition
+        got = kept(rows.sortWithinPartitions(*order).mapInArrow(pair, _CAND_DDL), "neighbours")
+        found.append(got.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        if parts == 1:
+            break
+        ends = got.where("b is null").select("tree", "label", F.col("a").alias("node"), "sketch", "root").distinct()
+        parts = -(-parts * 2 * REGION // END_ROWS)
+        rows = ends.repartition(1) if parts == 1 else ends.repartitionByRange(parts, *order)
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    return pairs.where("a <> b").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -244,6 +253,22 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
 
 
+_SIGN = -(1 << 63)
+
+
+def _key() -> Column:
+    """16 bytes in the order of `first`: whether doc_id is null, doc_id, and what th has in its upper 56 bits."""
+    wide = lambda x: F.lpad(F.hex(x), 16, "0")
+    number = wide(F.coalesce("first.doc_id", F.lit(0)).bitwiseXOR(F.lit(_SIGN)))
+    return F.unhex(F.concat(F.when(F.col("first.none"), "01").otherwise("00"), number, F.substring(wide(F.col("first.th")), 1, 14)))
+
+
+def _doc_id(key: str) -> Column:
+    """The doc_id of a key; null if that has none."""
+    number = F.conv(F.hex(F.substring(key, 2, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(_SIGN))
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", number)
+
+
 def _texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """The documents, all columns, with the columns of rows (id, th, ...) of equal doc_id and text; repeated rows once."""
     both = docs.withColumn("__th", F.xxhash64("text")).join(rows.withColumnsRenamed({"id": "__id", "th": "__rth"}), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__rth")))
@@ -341,29 +366,32 @@ def _linked(docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> Data
     return roots
 
 
-def cluster(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, th, n_shingles, root (null for an empty set) and component_id, a row for each document."""
-    signed = kept(signatures(docs, words), "signatures")
-    nodes = kept(signed.where("node is not null").groupBy("node").agg(_first(), F.first("sig").alias("sig"), F.count("*").alias("copies")), "nodes")
+def _clustered(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and the distinct sets: ident, node (a key by their first document), copies and root, the least node of the component."""
+    signed = kept(signatures(docs, words).withColumnRenamed("node", "ident"), "signatures")
+    groups = signed.where("ident is not null").groupBy("ident").agg(_first(), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+    nodes = kept(groups.withColumn("node", _key()), "nodes")
     final = _linked(docs, nodes, words, percent)
-    own = nodes.select("node", "copies", F.col("first.doc_id").alias("doc_id")).join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = own.join(own.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "copies", "root", "component_id")
-    # back to the documents; sets of very many copies, of which there are few, meet their documents in several tasks
-    many = max(HOT_LEAST, signed.count() // HOT_SHARE)
-    hot = nodes.where(F.col("copies") > many).select("node", F.lit(True).alias("hot"))
-    salt = F.when(F.col("hot") | F.col("node").isNull(), F.pmod(F.xxhash64("doc_id", "th"), F.lit(HOT_SALTS))).otherwise(0).cast("int")
-    rows = signed.drop("sig").join(F.broadcast(hot), "node", "left").withColumn("salt", salt)
-    dealt = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("copies") > many, HOT_SALTS - 1).otherwise(0))))
-    out = rows.join(dealt, ["node", "salt"], "left")
-    return out.select("doc_id", "th", "n_shingles", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return signed, nodes.drop("sig").join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def cluster(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, th, n_shingles and component_id, a row for each document."""
+    signed, named = _clustered(docs, words, percent)
+    named = kept(named.select("ident", "copies", "root"), "named")
+    rows = signed.where("ident is not null").select("doc_id", "th", "n_shingles", "ident")
+    # back to the documents; the documents of a set of very many copies meet it in several tasks
+    found = spread_join(rows, named.drop("copies"), "ident", "doc_id", hot_least(signed.count()), named.select("ident", F.col("copies").alias("n")))
+    out = found.select("doc_id", "th", "n_shingles", _doc_id("root").alias("component_id"))
+    return out.union(signed.where("ident is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns: of each component the row of its smallest doc_id, and those with empty sets; repeated rows once."""
-    found = cluster(docs, words, percent)
-    linked = found.where("root is not null").groupBy("root").agg(_first()).select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
-    single = found.where("root is null").select(F.col("doc_id").alias("id"), "th").distinct()
-    return _texts(docs, linked.union(single)).select(*docs.columns)
+    signed, named = _clustered(docs, words, percent)
+    first = named.where("root = node").select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("th"))
+    single = signed.where("ident is null").select(F.col("doc_id").alias("id"), "th").distinct()
+    return _texts(docs, first.union(single)).select(*docs.columns)
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .text import equal_spans
+from .text import equal_spans, words_of
 
 #: Ids that the cache of one worker holds at most; beyond, it starts anew.
 CACHE_IDS = 6_000_000
@@ -29,6 +29,7 @@ class Cache:
         self.store = np.zeros(0, np.int32)
         #: the bytes of each key's chunk: all bytes, where each begins, and how many it has
         self.raw = np.zeros(0, np.uint8)
+        self.eight = words_of(self.raw)
         self.raw_at, self.raw_size = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, hashes: np.ndarray, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,11 +57,12 @@ class Cache:
             self.size, self.raw_size = (np.concatenate(x)[order] for x in ((self.size, size), (self.raw_size, raw_size)))
             self.store = np.concatenate([self.store, ids.astype(np.int32)])
             self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(texts), np.uint8)])
+            self.eight = words_of(self.raw)
             place = np.searchsorted(self.keys, distinct)
         place = place[inverse]
         at, size = self.at[place], self.size[place]
         same = self.raw_size[place] == end - start
-        same[same] = equal_spans(self.raw, self.raw_at[place[same]], buf, start[same], (end - start)[same])
+        same[same] = equal_spans(self.raw, self.raw_at[place[same]], buf, start[same], (end - start)[same], self.eight)
         other = np.flatnonzero(~same)  # equal hashes of unequal chunks: these are encoded by themselves
         store = self.store
         if len(other):

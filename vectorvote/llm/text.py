@@ -132,10 +132,10 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, key: int =
     return h
 
 
-def equal_spans(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the ranges of `size` bytes from x_start in x and from y_start in y hold the same bytes."""
+def equal_spans(x: np.ndarray, x_start: np.ndarray, y: np.ndarray, y_start: np.ndarray, size: np.ndarray, x_eight: np.ndarray | None = None) -> np.ndarray:
+    """Whether the ranges of `size` bytes from x_start in x and from y_start in y hold the same bytes; x_eight: words_of(x), if there."""
     same = np.ones(len(size), dtype=bool)
-    ex, ey = words_of(x), words_of(y)
+    ex, ey = words_of(x) if x_eight is None else x_eight, words_of(y)
     live, left = np.arange(len(size)), size
     for step in range(SHORT // 8):
         differ = ((ex[x_start[live] + 8 * step] ^ ey[y_start[live] + 8 * step]) & _MASK[np.minimum(left, 8)]) != 0

@@ -11,11 +11,12 @@ Files: Parquet as the container, written by Spark's commit protocol to the share
 (binary).  A block is little-endian: magic, ids, lanes, steps between checkpoints, words, checkpoints, CRC-32 (7 unsigned 32-bit
 integers); the final states (64 bits a lane); each checkpoint's place (32 bits) and states; the stream of 32-bit words.
 
-Tokens: a text is cut at ASCII white space, which no token of this vocabulary crosses; distinct chunks are encoded once.
+Tokens: a text is cut at ASCII white space, which no token of this vocabulary crosses; distinct chunks are encoded once.  Added tokens
+in a text are what the library makes of them.
 
 Defined results: null text counts as empty and has just the end id; a null doc_id sorts first; rows of equal doc_id
 are ordered by a hash of the text, then any way (their rows are equal).  An empty table gives empty files and
-no rows.  Extra columns are ignored.  A damaged block raises ValueError.
+no rows.  A very long text is a block of its own, in memory in proportion to its ids.  Extra columns are ignored.  A damaged block raises ValueError.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .pieces import Cache
 from .shared import scratch
-from .text import BLANK_WORDS, U64, Words, as_table, flat, slices
+from .text import BLANK_WORDS, LOWER, U64, Words, as_table, flat, slices
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
@@ -148,7 +149,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        #: added tokens, which the library finds in a text before it looks for words; a document that holds one in any case goes to it whole
+        self.added = [LOWER[np.frombuffer(t.content.encode(), np.uint8)].tobytes() for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.mark = self.library.encode(self.MARK, add_special_tokens=False).ids
         self.cache = Cache(self.encode_chunks)
 
@@ -175,10 +177,26 @@ class WordTokenizer:
     def encode(self, buf: np.ndarray, offs: np.ndarray, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice's documents, the end id after each, and the number of ids of each document."""
         words = Words(buf, offs, BLANK_WORDS)
+        whole = self._with_added(words.low, offs)
         ids, size = self.cache.ids(words.hashes(), words.low, words.start, words.end)
         total = np.concatenate([[0], np.cumsum(size)])[words.first]
+        if len(whole):
+            parts = np.split(ids, total[1:-1])
+            for d in whole.tolist():
+                parts[d] = np.array(self.library.encode(buf[offs[d] : offs[d + 1]].tobytes().decode(), add_special_tokens=False).ids, np.int32)
+            ids, total = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return np.insert(ids, total[1:], end), np.diff(total) + 1
 
+    def _with_added(self, low: np.ndarray, offs: np.ndarray) -> np.ndarray:
+        """The documents of a slice that hold the content of an added token."""
+        raw, found = low.tobytes(), set()
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                found.add(int(np.searchsorted(offs, at, "right")) - 1)
+                at = raw.find(content, at + 1)
+        return np.array(sorted(found), np.int64)
+
 
 _loaded: dict[str, WordTokenizer] = {}
 

@@ -52,13 +52,72 @@ def test_clean_text_stays():
         assert pii.hidden_spans(text, pii.base_spans(text)) == []
 
 
+BITS = [
+    "@", ".", " ", "  ", "\n", "\x1c", "-", "(", ")", "[", "]", "{", "}", "<", "at", "AT", "dot", "Dot", "punkt", "punto", "arroba", "point", "a", "joe", "x_1", "j.d", "host", "com", "de", "+", "plus", ",",
+    *"one two SIX un dos nine oh null fünf FÜNF zéro ZÉRO tres".split(), "1", "25", "192", "O", "o", "l", "I", "4111", "é", "×", "«", "\xa0", "\xad", "а", "４", "＠", "．", "ſ", "K", "_", "%",
+]
+
+
 def test_no_candidate_is_passed_over():
+    """What the filter passes over, no transducer would change."""
+    import random
+
     import numpy as np
 
-    for text, _, _ in CASES:
-        raw = ("plain text. " + text).encode()
-        _, odd = pii._candidates(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-        assert odd[0], text
+    r = random.Random(11)
+    texts = [t for t, _, _ in CASES] + ["info@firma{punkt}de", "info@firma( punkt )de", "j.doe" + "x" * 80 + " at host.com", "ZÉRO FÜNF", "1 .(O"]
+    texts += ["".join(r.choice(BITS) for _ in range(r.randint(1, 14))) for _ in range(12_000)]
+    texts += [" ".join(r.choice(BITS) for _ in range(r.randint(1, 9))) for _ in range(8_000)]
+    raw = [t.encode() for t in texts]
+    plain, odd = pii._candidates(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    changed = 0
+    for text, p, o in zip(texts, plain, odd):
+        m = pii.signs(pii.spelled(pii.look_alike_digits(pii.glyphs(pii.Mapped(text)))))
+        assert len(m.text) == len(m.start) == len(m.end) and (m.start < m.end).all()
+        changed += m.text != text
+        assert o or m.text == text, text
+        assert p or not pii.base_spans(text), text
+    assert changed > 3000 and not odd.all()
+
+
+def test_find_against_brute_force(spark):
+    """The whole operator, without its filter, on disguised and plain pieces between clean words."""
+    import hashlib
+    import random
+
+    r = random.Random(12)
+    parts = [w for _, _, w in CASES] + ["a.b@c.de", "10.0.0.1", "4111 1111 1111 1111", "+49 30 1234567", "the", "house,", "of 12", "é", "at noon.", "dot"]
+    rows = [(k, " ".join(r.choice(parts) for _ in range(r.randint(0, 8)))) for k in range(400)]
+    got = {x.doc_id: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    line = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    for i, text in rows:
+        base = brute(text)
+        m = pii.signs(pii.spelled(pii.look_alike_digits(pii.glyphs(pii.Mapped(text)))))
+        more = {(k, int(m.start[a]), int(m.end[b - 1])) for k, a, b in brute(m.text) if text[m.start[a] : m.end[b - 1]] != m.text[a:b]} - set(base)
+        more = [(k, a, b) for k, a, b in more if all(b <= x or y <= a or a <= x and y <= b and (a, b) != (x, y) for _, x, y in base)]
+        every = sorted([*base, *more], key=lambda v: (pii.KINDS.index(v[0]), v[1], v[2]))
+        assert got[i].spans == line(every) and got[i].base_sha256 == hashlib.sha256(line(base).encode()).hexdigest() and got[i].n_added == len(more)
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(v[0] == k for v in every) for k in pii.KINDS]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        " " * 1_000_000 + "x [at] y", "a dot " * 160_000, "a at " * 200_000, "[ " * 500_000, "(" + " " * 1_000_000 + "at", "one " * 250_000, "one" + " " * 999_000 + "two", "@ " * 500_000, "a." * 500_000 + " at b", "x at " + "a." * 500_000,
+        "0 " * 500_000 + "x", "0O" * 500_000 + "x", "+1" + "." * 999_000, "1." * 500_000, "a@" * 500_000, "а" * 500_000, "one.two " * 120_000, "dot at " * 140_000, "plus " * 200_000, "a@b.c " * 160_000,
+        "a [at] b [dot] de " * 55_000,
+    ],
+)
+def test_a_long_text_takes_linear_time(text):
+    import time
+
+    def took(t):
+        began = time.process_time()
+        pii.hidden_spans(t, pii.base_spans(t))
+        return time.process_time() - began
+
+    half, whole = took(text[len(text) // 2 :]), took(text)
+    assert whole < 12 and whole < 3.5 * half + 1
 
 
 def test_rows(spark):

@@ -13,7 +13,8 @@ added unless it touches a base span that it doesn't strictly contain.  Base span
 
 Defined results: null or empty text has no spans (counts 0, `spans` empty, hash of the empty string); each
 repeated row gets its own equal result; an empty table gives an empty result; other columns are ignored.  Overlaps between
-kinds are all kept.  Offsets are code points, end exclusive.  A text is handled whole, in time linear in its length.
+kinds are all kept.  Offsets are code points, end exclusive.  A text is handled whole; every pattern is anchored at a sign, bracket or word and
+walks outwards, so the time is linear in the length.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import LOWER, as_table, flat, slices
+from .text import BLANK_WORDS, LOWER, Words, as_table, flat, slices, span_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -99,19 +101,21 @@ NUMBER_WORDS = (
 DIGIT_OF = {w: str(k) for row in NUMBER_WORDS for k, w in enumerate(row.split())} | {"oh": "0"}
 
 _word = "(?:" + "|".join(sorted(DIGIT_OF, key=len, reverse=True)) + ")"
-_sep = r"[\s,\-()]+"
-_point = r"\s*(?:dot|point|punkt|punto|\.)\s*"
-_SPELLED = re.compile(rf"(?<!\w)(?:plus\s+|\+\s*)?{_word}(?:(?:{_sep}|{_point}){_word})+(?!\w)", re.I)
-_TOKEN = re.compile(rf"(?P<plus>plus|\+)|(?P<digit>{_word})(?!\w)|(?P<point>dot|point|punkt|punto|\.)", re.I)
+_points = ("dot", "point", "punkt", "punto")
+_NUMBER = re.compile(rf"(?<!\w){_word}(?!\w)", re.I)
+#: What may stand between two number words of a run; with `point`, a sign for it.
+_GAP = re.compile(rf"[\s,\-()]+|\s*(?P<point>\.|(?<!\w)(?:{'|'.join(_points)})(?!\w))\s*", re.I)
 _open, _close = r"[\[({<]", r"[\])}>]"
-_AT = re.compile(rf"\s*{_open}\s*(?:at|@|arroba)\s*{_close}\s*", re.I)
-_DOT = re.compile(rf"\s*{_open}\s*(?:dot|punkt|point|punto|\.)\s*{_close}\s*", re.I)
-_name = r"[A-Za-z0-9._%+-]+"
+_AT = re.compile(rf"{_open}\s*(?:at|@|arroba)\s*{_close}", re.I)
+_DOT = re.compile(rf"{_open}\s*(?:{'|'.join(_points)}|\.)\s*{_close}", re.I)
 _label = r"[A-Za-z0-9-]+"
-_SPOKEN = re.compile(rf"(?<![A-Za-z0-9._%+@-]){_name}(?:\s+dot\s+{_name})*(?:\s+at\s+|\s*@\s*){_label}(?:\.{_label})*(?:\s+dot\s+{_label}(?:\.{_label})*)+", re.I)
-_MARKED = re.compile(rf"(?<![A-Za-z0-9._%+@-])(?=[A-Za-z0-9%+-]*[0-9._]){_name}\s+at\s+(?={_label}(?:\.{_label})*\.[a-z]{{2,6}}(?![\w-]))", re.I)
+#: The sign that a spoken or spaced address is found from; names to its left, read backwards; and hosts to its right.
+_SIGN = re.compile(r"(?<=\s)at(?=\s)|@", re.I)
+_SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
+_NAMES_BACK = re.compile(r"[A-Za-z0-9._%+-]+(?:\s+tod\s+[A-Za-z0-9._%+-]+)*", re.I)
+_SPOKEN_HOST = re.compile(rf"{_label}(?:\.{_label})*(?:\s+dot\s+{_label}(?:\.{_label})*)+", re.I)
+_PLAIN_HOST = re.compile(rf"{_label}(?:\.{_label})*\.[a-z]{{2,6}}(?![\w-])", re.I)
 _SPACED = re.compile(rf"(?<=[A-Za-z0-9])(?:[ \t]+@[ \t]*|[ \t]*@[ \t]+)(?={_label}(?:\.{_label})+)")
-_SIGN = re.compile(r"\s+(?P<dot>dot)\s+|\s+(?P<at>at)\s+|\s*(?P<sign>@)\s*", re.I)
 
 
 class Mapped:
@@ -152,7 +156,14 @@ _NON_ASCII = re.compile(r"[^\x00-\x7f\xa0\xae-\xff]")
 
 
 def glyphs(m: Mapped) -> Mapped:
-    return m.rewrite([(x.start(), x.end(), new) for x in _NON_ASCII.finditer(m.text) if (new := _plain(x[0])) != x[0]])
+    if not _NON_ASCII.search(m.text):
+        return m
+    codes = np.frombuffer(m.text.encode("utf-32-le"), np.uint32)
+    seen, index = np.unique(codes, return_inverse=True)
+    plain = [_plain(chr(c)) if _NON_ASCII.match(chr(c)) else chr(c) for c in seen.tolist()]
+    stays = np.array([bool(x) for x in plain], dtype=bool)[index]
+    text = np.array([ord(x) if x else 0 for x in plain], np.uint32)[index][stays].tobytes().decode("utf-32-le")
+    return Mapped(text, m.start[stays], m.end[stays])
 
 
 #: Letters in the place of digits, in groups that are mostly digits.
@@ -170,38 +181,101 @@ def look_alike_digits(m: Mapped) -> Mapped:
 
 
 def spelled(m: Mapped) -> Mapped:
-    edits = []
-    for run in _SPELLED.finditer(m.text):
-        for x in _TOKEN.finditer(m.text, run.start(), run.end()):
-            edits.append([x.start(), x.end(), "+" if x["plus"] else "." if x["point"] else DIGIT_OF[x["digit"].lower()], run.start()])
-        for left, right in zip(edits, edits[1:]):  # what parts two words of a run goes with the left one
-            if left[3] == right[3] == run.start():
-                left[1] = right[0]
-    return _joined(m, [tuple(x[:3]) for x in edits])
-
-
-def _joined(m: Mapped, edits: list[tuple[int, int, str]]) -> Mapped:
-    """rewrite(), where the separator that went with a word does not count to that word's source range."""
+    """Runs of number words become digits; what parts two words goes, but for a point, and a plus before the run becomes a sign."""
+    words = list(_NUMBER.finditer(m.text))
+    gaps = [_GAP.fullmatch(m.text, x.end(), y.start()) for x, y in zip(words, words[1:])]
+    edits, ends = [], []
+    for k, word in enumerate(words):
+        before, after = k > 0 and gaps[k - 1], k < len(gaps) and gaps[k]
+        if not before and not after:
+            continue
+        if not before and (plus := _plus_before(m.text, word.start())) is not None:
+            edits.append((plus, word.start(), "+"))
+            ends.append(word.start())
+        digit = DIGIT_OF[word[0].lower()]
+        edits.append((word.start(), words[k + 1].start() if after else word.end(), digit + "." * bool(after and after["point"])))
+        ends.append(word.end())
     out = m.rewrite(edits)
-    if edits:
-        at = shift = 0
-        for a, b, new in edits:
-            at = a + shift
-            kept = m.text[a:b].rstrip(" \t\r\n,-.")
-            if new and kept:
-                out.end[at : at + len(new)] = m.end[a + len(kept) - 1]
-            shift += len(new) - (b - a)
+    at = shift = 0
+    for (a, b, new), end in zip(edits, ends):  # the separator that went with a word is no part of that word's source range
+        at = a + shift
+        out.end[at] = m.end[end - 1]
+        shift += len(new) - (b - a)
     return out
 
 
-def signs(m: Mapped) -> Mapped:
+def _plus_before(text: str, at: int) -> int | None:
+    """Where a plus, as a sign or a word, stands before a place, with nothing but white space between."""
+    k = at
+    while k and text[k - 1].isspace():
+        k -= 1
+    if k and text[k - 1] == "+":
+        return k - 1
+    if k < at and k >= 4 and text[k - 4 : k].lower() == "plus" and not (k > 4 and (text[k - 5].isalnum() or text[k - 5] == "_")):
+        return k - 4
+    return None
+
+
+def _around(text: str, start: int, end: int, floor: int) -> tuple[int, int]:
+    """A range, with the white space around it."""
+    while start > floor and text[start - 1].isspace():
+        start -= 1
+    while end < len(text) and text[end].isspace():
+        end += 1
+    return start, end
+
+
+def bracketed(m: Mapped) -> Mapped:
+    """ "[at]", "(dot)" and the like, found from their brackets."""
     for pattern, new in ((_AT, "@"), (_DOT, ".")):
-        m = m.rewrite([(x.start(), x.end(), new) for x in pattern.finditer(m.text) if x.start() and x.end() < len(m.text)])
-    edits = []
-    for x in _SPOKEN.finditer(m.text):
-        edits += [(y.start(), y.end(), "." if y["dot"] else "@") for y in _SIGN.finditer(m.text, x.start(), x.end())]
-    m = m.rewrite(edits)
-    m = m.rewrite([(y.start(), y.end(), "@") for x in _MARKED.finditer(m.text) for y in [*_SIGN.finditer(m.text, x.start(), x.end())][-1:]])
+        edits, floor = [], 0
+        for x in pattern.finditer(m.text):
+            a, b = _around(m.text, *x.span(), floor)
+            if a and b < len(m.text):
+                edits.append((a, b, new))
+            floor = b
+        m = m.rewrite(edits)
+    return m
+
+
+def _addresses(m: Mapped, host: re.Pattern, spoken: bool) -> Mapped:
+    """Addresses with a sign that is a word or stands apart, found from the sign outwards: names to the left, a host to the right.  Spoken
+    ones have their dots as words; others need a name with a digit, dot or underscore."""
+    text, n, floor, edits = m.text, len(m.text), 0, []
+    back = None
+    for sign in _SIGN.finditer(text):
+        if sign.start() < floor or not spoken and sign[0] == "@":
+            continue
+        a, b = _around(text, *sign.span(), floor)
+        right = host.match(text, b)
+        if not right:
+            continue
+        back = text[::-1] if back is None else back
+        left = _NAMES_BACK.match(back, n - a, n - floor)
+        if not left:
+            continue
+        start = n - left.end()
+        dots = list(_SPOKEN_DOT.finditer(text, start, a))
+        if not spoken and dots:
+            start = dots[-1].end()
+        elif start and text[start - 1] in "@" and dots:
+            start = dots.pop(0).end()
+        if start and (text[start - 1] in _LOCAL or text[start - 1] == "@") or not spoken and not any(c in "0123456789._" for c in text[start:a]):
+            continue
+        if spoken:
+            edits += [(x.start(), x.end(), ".") for x in dots]
+        edits.append((a, b, "@"))
+        if spoken:
+            edits += [(x.start(), x.end(), ".") for x in _SPOKEN_DOT.finditer(text, right.start(), right.end())]
+            floor = right.end()
+        else:
+            floor = b
+    return m.rewrite(edits)
+
+
+def signs(m: Mapped) -> Mapped:
+    m = _addresses(bracketed(m), _SPOKEN_HOST, True)
+    m = _addresses(m, _PLAIN_HOST, False)
     return m.rewrite([(x.start(), x.end(), "@") for x in _SPACED.finditer(m.text)])
 
 
@@ -211,52 +285,77 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
     if m.text == text:
         return []
     had, out = set(base), []
+    starts, ends, ranges = sorted(x for _, x, _ in base), sorted(y for _, _, y in base), {(x, y) for _, x, y in base}
+    crossed = lambda p: bisect_left(starts, p) > bisect_right(ends, p)  # noqa: E731  (a base span begins before p and ends after it)
     for kind, s, e in base_spans(m.text):
         a, b = int(m.start[s]), int(m.end[e - 1])
-        clear = all(y <= a or b <= x or (a <= x and y <= b and (a, b) != (x, y)) for _, x, y in base)
-        if (kind, a, b) not in had and clear and text[a:b] != m.text[s:e]:
+        if (kind, a, b) not in had and (a, b) not in ranges and not crossed(a) and not crossed(b) and text[a:b] != m.text[s:e]:
             had.add((kind, a, b))
             out.append((kind, a, b))
     return out
 
 
-_BLANK = LOWER.copy()
-_BLANK[[9, 10, 11, 12, 13, 44, 45, 46]] = 32
-_WORDS_ONLY = _BLANK.copy()
-_WORDS_ONLY[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 32
-#: Number words that are frequent in ordinary text count only beside another one.
-_COMMON = ("one", "six", "oh", "un", "dos")
-_NUMBER_TRIGGERS = sorted({f" {w} ".encode() for w in DIGIT_OF if w not in _COMMON} | {f" {a} {b} ".encode() for a in _COMMON for b in _COMMON})
-_SIGN_TRIGGERS = [b"dot", b"[at", b"(at", b"{at", b"<at", b"[ at", b"( at", b"{ at", b"< at", b"[@", b"(@", b"{@", b"<@", b" @", b"@ ", b"[ @", b"( @", b"arroba", b"punkt)", b"punkt]", b"point)", b"point]", b"punto)", b"punto]"]
+#: White space of patterns on text, as far as it is ASCII.
+_blank = rb"[\s\x1c-\x1f]"
+_TRIGGERS = [
+    re.compile(x.replace(b"~", _blank), re.I)
+    for x in (
+        rb"[\[({<]~*(?:at|@|arroba|" + "|".join(_points).encode() + rb"|\.)~*[\])}>]",
+        rb"~dot~",
+        rb"~at~+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2}",
+        rb"[ \t]@|@[ \t]",
+    )
+]
+_IN_WORD = LOWER.copy()
+_IN_WORD[[*range(0, 48), *range(58, 65), *range(91, 95), 96, *range(123, 128)]] = 32
+
+
+def _hash_of(words) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    end = np.cumsum([len(w) for w in raw])
+    return span_hashes(np.frombuffer(b"".join(raw), np.uint8), end - [len(w) for w in raw], end)
+
+
+_NUMBER_HASHES, _POINT_HASHES = _hash_of(DIGIT_OF), _hash_of(_points)
 
 
 def _candidates(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Documents that may hold base spans, and documents that may hold disguised ones (never too few)."""
+    """Documents that may hold base spans, and documents that one of the transducers may change.
+
+    Each condition is implied by what it stands for: a character that has a plain form is none of ASCII or common Latin-1; letters count as
+    digits only in a group that has both, so one of each with at most 3 separators between; two number words follow each other, at
+    most with a word for a point between; and the signs' patterns without their surroundings.
+    """
     def has(mask):
         c = np.concatenate([[0], np.cumsum(mask)])
         return c[offs[1:]] > c[offs[:-1]]
 
     digit = (buf >= 48) & (buf <= 57)
     plain = has(digit | (buf == 64))
+    # U+0080 to U+00BF and all from U+0100 on; and the two signs among the letters of Latin-1, beside which words begin
+    first = buf == 0xC3
+    second = np.concatenate([[False], first[:-1]]) if len(buf) else first
+    odd = (buf == 0xC2) | (buf >= 0xC4) | second & ((buf == 0x97) | (buf == 0xB7))
     alike = (buf == 79) | (buf == 111) | (buf == 108) | (buf == 73)
-    beside = np.zeros(len(buf), dtype=bool)
-    beside[1:] = (alike[1:] & digit[:-1]) | (digit[1:] & alike[:-1])
-    beside[2:] |= (alike[2:] & digit[:-2]) | (digit[2:] & alike[:-2])
-    odd = has((buf == 0xC2) | (buf >= 0xC4) | beside)
-    flat_text, words = _BLANK[buf].tobytes(), _WORDS_ONLY[buf].tobytes()
-    for where, needles in ((words, _NUMBER_TRIGGERS), (flat_text, _SIGN_TRIGGERS)):
-        for needle in needles:
-            at = where.find(needle)
-            while at >= 0:
-                d = int(np.searchsorted(offs, at, "right")) - 1
-                odd[d] = True
-                at = where.find(needle, max(at + 1, int(offs[d + 1]) - len(needle) + 1))
-    # "name at host.tld": a word with a digit, dot or underscore before " at "
-    at = flat_text.find(b" at ")
-    while at >= 0:
-        if at and (buf[at - 1] in b"0123456789_" or 46 in buf[max(0, at - 64) : at] or 95 in buf[max(0, at - 64) : at] or digit[max(0, at - 64) : at].any()):
-            odd[int(np.searchsorted(offs, at, "right")) - 1] = True
-        at = flat_text.find(b" at ", at + 1)
+    between = (buf == 32) | (buf == 40) | (buf == 41) | (buf == 45) | (buf == 46)
+    gap = np.ones(len(buf), dtype=bool)
+    for step in range(1, 5):
+        a, b = slice(0, max(0, len(buf) - step)), slice(step, None)
+        odd[b] |= gap[b] & (digit[a] & alike[b] | alike[a] & digit[b])
+        gap[1:] = gap[:-1] & between[:-1]  # the `step` characters before are separators
+    odd = has(odd)
+    low = _IN_WORD[buf]
+    low[second & (buf >= 0x80) & (buf <= 0x9E)] += 32
+    words = Words(low, offs, BLANK_WORDS)
+    h, doc = words.hashes(), words.of()
+    number, point = np.isin(h, _NUMBER_HASHES), np.isin(h, _POINT_HASHES)
+    for step in (1, 2):
+        k = np.flatnonzero(number[:-step] & number[step:] & (doc[:-step] == doc[step:])) if len(h) > step else np.zeros(0, np.int64)
+        odd[doc[k if step == 1 else k[point[k + 1]]]] = True
+    raw = buf.tobytes()
+    for pattern in _TRIGGERS:
+        for x in pattern.finditer(raw):
+            odd[int(np.searchsorted(offs, x.start(), "right")) - 1] = True
     return plain, odd
 
 

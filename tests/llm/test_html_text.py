@@ -57,6 +57,85 @@ def test_lines(page, want):
     assert text(page) == want
 
 
+def brute(pages):
+    """The operator's text for every (page_id, host, path, html), in plain Python: all pages in order, lines aligned by dynamic programming."""
+    parsed = [(i, host, path, h.lines(page)) for i, host, path, page in sorted(pages, key=lambda x: x[1:3] + x[:1])]
+    own = lambda x: [(y.path, y.text) for y in x[3] if y.kind != h.TEMPLATE]
+    runs = []
+    for x in parsed:
+        if runs and runs[-1][0][1] == x[1] and own(runs[-1][0]) == own(x):
+            runs[-1].append(x)
+        else:
+            runs.append([x])
+    out = {}
+    for at, run in enumerate(runs):
+        page = run[0]
+        name = lambda y: y.path if y.kind == h.TEMPLATE else (y.path, y.text)
+        near = [o[0] for k, o in enumerate(runs) if 0 < abs(k - at) <= h.NEAR and o[0][1] == page[1] and own(o[0]) != own(page)]
+        votes = [0] * len(page[3])
+        for o in near:
+            a, b = [name(y) for y in page[3]], [name(y) for y in o[3]]
+            for k in h.common([hash(v) for v in a], [hash(v) for v in b]):
+                votes[k] += 1
+        n = len(near)
+        left = [(y, v) for y, v in zip(page[3], votes) if y.kind == h.PLAIN and v < max(n, 1) / 2 or y.kind == h.MAIN and not (n >= 3 and v == n)]
+        main, plain = ([y.text for y, _ in left if y.kind == kind] for kind in (h.MAIN, h.PLAIN))
+        text = main if main and sum(map(len, main)) >= sum(map(len, plain)) else plain
+        for x in run:
+            out[x[0]] = " ".join(text)
+    return out
+
+
+def test_against_brute_force(spark):
+    """Marked and unmarked pages, shared and own lines, copies, hosts of one page, hosts over several partitions."""
+    r = random.Random(5)
+    rows = []
+    for k in range(260):
+        host, n = f"h{r.choice('aaaabbc')}.org" if k < 250 else f"lone{k}.org", r.randint(0, 5)
+        body = "".join(f"<p>{r.choice(['shared one', 'shared two', f'own {k} {j} ' * 3])}</p>" for j in range(n))
+        box = r.choice(["<article>%s</article>", "<div>%s</div>", "<div><article>%s</article></div>", "<main><div class=ad>x</div>%s</main>"]) % body
+        page = f"<nav>m{k % 3}</nav><div>Site line</div>{box}<p>Join us</p><footer>f{k}</footer>"
+        rows.append((k, host, f"/{r.randint(0, 60):02d}", page))
+        if r.random() < 0.2:
+            rows += [(1000 + 10 * k + j, host, rows[-1][2], page) for j in range(r.randint(1, 6))]
+    df = spark.createDataFrame([(i, f"http://{host}{path}", page) for i, host, path, page in rows], "page_id long, url string, html string").repartition(5)
+    assert {x.page_id: x.text for x in h.extract(df).collect()} == brute(rows)
+
+
+def test_passes_over_ends(spark, monkeypatch):
+    monkeypatch.setattr(h, "END_PAGES", 30)
+    rows = [(k, "h.org", f"/{k // 2:03d}", f"<div>Site</div><p>own {k}</p><p>{'odd' if k % 2 else 'even'}</p>") for k in range(120)] + [(500 + k, "h.org", "/900", "<div>Site</div><p>copy</p>") for k in range(9)]
+    df = spark.createDataFrame([(i, f"http://{host}{path}", page) for i, host, path, page in rows], "page_id long, url string, html string").repartition(5)
+    got = {x.page_id: x.text for x in h.extract(df).collect()}
+    assert len(got) == 129 and got == brute(rows)
+
+
+def test_what_pages_share_goes_also_where_the_article_is_marked(spark):
+    rows = [(k, f"http://h.org/{k:02d}", f"<article><p>Story {k} as told.</p><p>Write to us.</p></article>") for k in range(8)]
+    mostly = [(100 + k, f"http://t.org/{k:02d}", "".join(f"<div>template {j}</div>" for j in range(30)) + f"<p>story {k}</p>") for k in range(8)]
+    cards = [(200 + k, f"http://c.org/{k:02d}", f"<div><p>{f'the long body of {k} ' * 9}</p></div><article>card {k}</article>") for k in range(8)]
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows + mostly + cards, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert (got[k], got[100 + k], got[200 + k]) == (f"Story {k} as told.", f"story {k}", (f"the long body of {k} " * 9).strip())
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 200_000, "<div>" * 60_000 + "</p>" * 150_000, "<b>" * 60_000 + "<ul></ul>" * 80_000, "<svg/>" * 160_000, "<head>" * 160_000, "<p>" * 300_000, "<script>" * 120_000, "<x><p>" * 160_000, "<a class='" + "ad " * 330_000, "<!-- " * 200_000, "<td><table>" * 90_000, "&" * 1_000_000, "<" * 1_000_000, "<select>x</select>" * 55_000, "<p><div>" * 125_000],
+)
+def test_parsing_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    h.lines(page)
+    assert time.process_time() - began < 8
+
+
+def test_deep_and_unclosed():
+    got = h.lines("<div>" * 1000 + "deep" + "</div>" * 1000 + "<p>after")
+    assert [x.text for x in got] == ["deep", "after"] and got[1].path == h.lines("<p>x")[0].path
+
+
 def test_differencing(spark):
     page = "<body><div>Site name</div><p>{}</p><p>{}</p><div>All rights kept</div></body>"
     rows = [(k, f"http://h.org/a/{k}", page.format(f"story {k} is told", f"and ends {k} here")) for k in range(40)]

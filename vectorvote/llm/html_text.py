@@ -1,21 +1,22 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Each page becomes lines: one for each block, with its structural path.  Pages are ordered by host and URL path, and each is
-compared with its neighbours in that order on the same host: the lines are aligned by longest common subsequence, and lines
-that a neighbour has too are template.  Two kinds of line take part in an alignment by their path alone, since a
-template's slots hold other words on each page: those under a landmark (menu, header, footer, sidebar, form ...) and
-those under an element whose class, id or role says so (advert, notice, comments ...).  They are never main text.  Where a page
-marks its article (article, main, or role=main), the article's own lines are kept even if a neighbour repeats them, as the
-article is wanted whole, and lines outside it are not; else the lines that no neighbour shares are the main text.  A
-neighbour with half or more of the page's characters in common is a copy, not a template, and is passed over.
+Each page becomes lines: one for each block, with its structural path.  Pages are ordered by host and URL path, and each is compared with
+the NEAR pages before and behind it on the same host: the lines are aligned by longest common subsequence, and a line that most of
+these pages have in the same place is template, and goes.  Pages with equal lines are copies of one page: neighbours in the
+order count as one, and a copy has no vote on its copies.
+
+What an element is called comes second.  Lines under a landmark (menu, header, footer, sidebar, form ...) and under an element whose class,
+id or role says so (advert, notice, comments ...) are slots, whose words differ from page to page: they align by their path alone,
+and are never main text.  A line under article, main or role=main stays where the votes are even, or there is one only; other
+lines go.  Of what is left, lines of the marked article are the main text, unless the lines outside it have more characters.
 
 The order is range-partitioned, so a host with very many pages is spread over tasks.  The pages at the ends of partitions
-meet their neighbours in a second small pass.
+meet their neighbours in further passes over those ends.  Copies that fill whole partitions are compared with what their partition holds.
 
 Defined results: null or empty html has empty text.  A null url, or one without a host, is on the host "".  Pages of equal URL
-are ordered by page_id, then by a hash of the html; repeated rows are copies, so they are not differenced against each
-other.  Tags that are never closed end where their parent ends; cut-off tags and unknown references are text as a browser
-would show it.  An empty table gives an empty result; extra columns are ignored.
+are ordered by page_id, then by a hash of the html; repeated rows are copies.  Tags that are never closed end where their parent ends;
+elements deeper than DEEPEST belong to the element at that depth, as in browsers; cut-off tags and unknown references are text as
+a browser would show it.  Parsing takes time in proportion to the page.  An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,12 +53,14 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 MAIN, TEMPLATE, PLAIN = 2, 1, 0
+#: Pages on each side that a page is compared with; depth of elements; and pages that one task compares in the passes over ends, about.
+NEAR, DEEPEST, END_PAGES = 3, 256, 20_000
 
 
 class Line:
     __slots__ = ("text", "path", "kind")
 
-    def __init__(self, text: str, path: str, kind: int):
+    def __init__(self, text: str, path: int, kind: int):
         self.text, self.path, self.kind = text, path, kind
 
 
@@ -83,11 +87,57 @@ def _says(name: str, attributes: str, kind: int) -> tuple[bool, bool, str]:
     return template, main, "." + ".".join(names) if names else ""
 
 
+def _hash(raw: str) -> int:
+    return int.from_bytes(hashlib.blake2b(raw.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class _Open:
+    """The open elements: name, hash of the path, and kind of each."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = [("", 0, PLAIN)]
+        self.count: Counter = Counter()
+        self.beyond: Counter = Counter()
+
+    def push(self, name: str, path: int, kind: int) -> None:
+        if len(self.stack) > DEEPEST:
+            self.beyond[name] += 1
+        else:
+            self.stack.append((name, path, kind))
+            self.count[name] += 1
+
+    def cut(self, k: int) -> None:
+        for name, _, _ in self.stack[k:]:
+            self.count[name] -= 1
+        del self.stack[k:]
+
+    def last(self, name: str) -> int:
+        """Where the innermost element of a name is; 0 if there is none."""
+        k = len(self.stack) - 1 if self.count[name] > 0 else 0
+        while k and self.stack[k][0] != name:
+            k -= 1
+        return k
+
+    def close(self, names: tuple, barriers: frozenset) -> None:
+        """Ends the innermost open element of these names, unless a barrier stands between."""
+        if any(self.count[n] > 0 for n in names):
+            for k in range(len(self.stack) - 1, 0, -1):
+                if self.stack[k][0] in names:
+                    return self.cut(k)
+                if self.stack[k][0] in barriers:
+                    return None
+        return None
+
+
+_P_BARRIERS = frozenset("table button object article main section div body".split())
+_ITEM_BARRIERS = frozenset("ul ol dl table select".split())
+
+
 def lines(page: str | None) -> list[Line]:
     """The text lines of a page, in page order, with their structural path and kind."""
     out: list[Line] = []
-    #: open elements: name, path, kind
-    stack: list[tuple[str, str, int]] = [("", "", PLAIN)]
+    opened = _Open()
+    stack = opened.stack
     text: list[str] = []
 
     def flush() -> None:
@@ -102,6 +152,16 @@ def lines(page: str | None) -> list[Line]:
 
     page = page or ""
     at, size = 0, len(page)
+    ahead: dict[str, tuple[int, int]] = {}
+
+    def search(pattern: str) -> tuple[int, int]:
+        """Where a pattern is found next, from `at` on: each stretch of the page is searched once."""
+        found = ahead.get(pattern)
+        if found is None or found[0] < at:
+            m = re.compile(pattern, re.I).search(page, at)
+            found = ahead[pattern] = m.span() if m else (size + 1, size + 1)
+        return found
+
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -112,23 +172,24 @@ def lines(page: str | None) -> list[Line]:
             continue
         name = name.lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    if any(x[0] not in INLINE for x in stack[k:]):
-                        flush()
-                    del stack[k:]
-                    break
-            else:
-                if name not in INLINE:
-                    flush()
+            if opened.beyond[name] > 0:
+                opened.beyond[name] -= 1
+                continue
+            k = opened.last(name)
+            if not k and name not in INLINE or any(x[0] not in INLINE for x in stack[k:] if k):
+                flush()
+            if k:
+                opened.cut(k)
             continue
         if name in RAW:
-            close = re.compile(rf"</{name}\s*(?:/?>|\Z)", re.I).search(page, at)
+            if name in ("svg", "math") and m[3].rstrip().endswith("/"):
+                continue
+            start, end = search(rf"</{name}\s*(?:/?>|\Z)")
             if name == "head":  # a head that is never closed ends where the body begins
-                body = re.compile(r"<body\b", re.I).search(page, at)
-                at = close.end() if close and (not body or close.start() < body.start()) else body.start() if body else at
-            elif not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                at = close.end() if close else size
+                body = search(r"<body\b")[0]
+                at = end if start < body else body if body <= size else at
+            else:
+                at = min(end, size)
             continue
         if name == "br" or name == "hr":
             text.append(" ")
@@ -137,9 +198,9 @@ def lines(page: str | None) -> list[Line]:
         if name not in INLINE:
             flush()
             if name in _ENDS_P:
-                _close(stack, ("p",), ("table", "button", "object"))
+                opened.close(("p",), _P_BARRIERS)
             if name in _CLOSES:
-                _close(stack, _CLOSES[name], ("ul", "ol", "dl", "table", "select"))
+                opened.close(_CLOSES[name], _ITEM_BARRIERS)
         _, path, kind = stack[-1]
         template, main, names = _says(name, m[3], kind) if m[3] else (False, False, "")
         if kind != TEMPLATE:
@@ -147,21 +208,11 @@ def lines(page: str | None) -> list[Line]:
                 kind = TEMPLATE
             elif name in ("article", "main") or main:
                 kind = MAIN
-        stack.append((name, f"{path}/{name}{names}" if name not in INLINE else path, kind))
+        opened.push(name, _hash(f"{path}/{name}{names}") if name not in INLINE else path, kind)
     flush()
     return out
 
 
-def _close(stack: list, names: tuple, barriers: tuple) -> None:
-    """Ends the innermost open element of these names, unless a barrier stands between."""
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k][0] in names:
-            del stack[k:]
-            return
-        if stack[k][0] in barriers or stack[k][0] in ("article", "main", "section", "div", "body") and names == ("p",):
-            return
-
-
 def common(a: list[int], b: list[int]) -> set[int]:
     """The places of `a` in one longest common subsequence of a and b: bit-parallel, halving long inputs (Hirschberg)."""
     lo = 0
@@ -218,28 +269,27 @@ def _scores(x: list[int], y: list[int]) -> np.ndarray:
 
 
 def _key(line: Line) -> int:
-    raw = line.path if line.kind == TEMPLATE else f"{line.path}\n{line.text}"
-    return int.from_bytes(hashlib.blake2b(raw.encode(), digest_size=8).digest(), "little", signed=True)
+    return line.path if line.kind == TEMPLATE else _hash(f"{line.path}\n{line.text}")
 
 
 def main_lines(size: list[int], kind: list[int], key: list[int], others: list[list[int]]) -> list[int]:
-    """The places of a page's main lines, given its neighbours' keys."""
-    marked = MAIN in kind
-    shared: set[int] = set()
+    """The places of a page's main lines, given the keys of the pages near it."""
+    votes, n = Counter(), len(others)
     for other_key in others:
-        found = common(key, other_key)
-        own = sum(size[k] for k in range(len(key)) if kind[k] != TEMPLATE)
-        if sum(size[k] for k in found if kind[k] != TEMPLATE) * 2 < max(own, 1):
-            shared |= found
-    return [k for k in range(len(key)) if kind[k] == (MAIN if marked else PLAIN) and (marked or k not in shared)]
+        votes.update(common(key, other_key))
+    left = []
+    for k, own in enumerate(kind):
+        if own == PLAIN and votes[k] * 2 < max(n, 1) or own == MAIN and (votes[k] < n or n < 3):
+            left.append(k)
+    marked, plain = ([k for k in left if kind[k] == x] for x in (MAIN, PLAIN))
+    return marked if marked and sum(size[k] for k in marked) >= sum(size[k] for k in plain) else plain
 
 
-_LINES = "texts binary, kinds binary, keys array<bigint>"
-_SCHEMA = f"page_id bigint, url string, text string, host string, path string, tie bigint, {_LINES}, before_keys array<bigint>, after_keys array<bigint>, lone boolean"
+_ROW = "page_id bigint, url string, host string, path string, tie bigint, texts binary, kinds binary, keys array<bigint>"
+_SCHEMA = f"{_ROW}, text string, open boolean"
 _ARROW = pa.schema(
-    [("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("host", pa.string()), ("path", pa.string()), ("tie", pa.int64())]
-    + [("texts", pa.binary()), ("kinds", pa.binary()), ("keys", pa.list_(pa.int64()))]
-    + [("before_keys", pa.list_(pa.int64())), ("after_keys", pa.list_(pa.int64())), ("lone", pa.bool_())]
+    [("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("tie", pa.int64())]
+    + [("texts", pa.binary()), ("kinds", pa.binary()), ("keys", pa.list_(pa.int64())), ("text", pa.string()), ("open", pa.bool_())]
 )
 
 
@@ -247,79 +297,104 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lines of each page, packed: the texts of those that may be main text, compressed; the kinds and keys of all."""
     import zstandard
 
-    schema = pa.schema([f for f in _ARROW if f.name in ("page_id", "url", "host", "path", "tie", "texts", "kinds", "keys")])
+    schema = pa.schema([f for f in _ARROW if f.name not in ("text", "open")])
     packer = zstandard.ZstdCompressor(level=9)
     for whole in batches:
         for batch in slices(whole, "html", 1 << 20):
             texts, kinds, keys = [], [], []
             for page in batch.column("html"):
                 found = lines(page.as_py())
-                texts.append(packer.compress("\n".join(x.text for x in found if x.kind != TEMPLATE).encode()))
+                texts.append(packer.compress("\n".join(x.text for x in found if x.kind != TEMPLATE).encode("utf-8", "replace")))
                 kinds.append(bytes(x.kind for x in found))
                 keys.append([_key(x) for x in found])
             yield as_table(schema, **{c: batch.column(c) for c in ("page_id", "url", "host", "path", "tie")}, texts=texts, kinds=kinds, keys=keys)
 
 
-def _text(row: dict, before: dict | None, after: dict | None) -> str:
-    import zstandard
+class _Page:
+    """A page and the copies that follow it in the order; `rows` are those whose text is still wanted."""
+
+    def __init__(self, row: dict):
+        self.row, self.rows = row, []
+        self.own = tuple(k for k, kind in zip(row["keys"], row["kinds"]) if kind != TEMPLATE)
 
-    packed = zstandard.ZstdDecompressor().decompress(row["texts"], max_output_size=1 << 31).decode()
-    rest = iter(packed.split("\n"))
-    texts = ["" if kind == TEMPLATE else next(rest) for kind in row["kinds"]]
-    others = [x["keys"] for x in (before, after) if x is not None and x["host"] == row["host"]]
-    return " ".join(texts[k] for k in main_lines([len(t) for t in texts], list(row["kinds"]), row["keys"], others))
+    def text(self, near: list[_Page]) -> str:
+        import zstandard
+
+        packed = zstandard.ZstdDecompressor().decompress(self.row["texts"], max_output_size=1 << 31).decode()
+        rest = iter(packed.split("\n"))
+        texts = ["" if kind == TEMPLATE else next(rest) for kind in self.row["kinds"]]
+        others = [x.row["keys"] for x in near if x.row["host"] == self.row["host"] and x.own != self.own]
+        return " ".join(texts[k] for k in main_lines([len(t) for t in texts], list(self.row["kinds"]), self.row["keys"], others))
+
+    def done(self, near: list[_Page]) -> list[dict]:
+        text = self.text(near) if self.rows else ""
+        return [{"page_id": i, "url": url, "text": text, "open": None} for i, url, _ in self.rows]
+
+    def end(self, wanted: bool) -> list[dict]:
+        """The page as a row of the next pass: all its rows if their text is still wanted, else one as a neighbour of others."""
+        if not wanted or not self.rows:
+            return [self.row | {"text": None, "open": False}]
+        return [self.row | {"page_id": i, "url": url, "tie": tie, "text": None, "open": True} for i, url, tie in self.rows]
 
 
 def _emit(rows: list[dict]) -> pa.RecordBatch:
     return as_table(_ARROW, **{f.name: [r.get(f.name) for r in rows] for f in _ARROW})
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pages of a sorted partition; its first and last pages stay open (lone), with the neighbour they have."""
-    last = current = None  # the page before, and the page whose successor is still to come
-    out: list[dict] = []
-    for batch in batches:
-        for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
-            for row in part.to_pylist():
-                if current is not None:
-                    out.append(_done(current, last, row))
-                last, current = current, row
-            if out:
-                yield _emit(out)
-                out = []
-    if current is not None:
-        yield _emit([_done(current, last, None)])
-
-
-def _done(row: dict, before: dict | None, after: dict | None) -> dict:
-    done = {k: row[k] for k in ("page_id", "url")}
-    if before is None or after is None:
-        done |= {k: row[k] for k in ("host", "path", "tie")}
-        sides = {f"{s}_keys": x["keys"] if x["host"] == row["host"] else [] for s, x in (("before", before), ("after", after)) if x is not None}
-        return done | {"lone": True, "texts": row["texts"], "kinds": row["kinds"], "keys": row["keys"]} | sides
-    return done | {"lone": False, "text": _text(row, before, after)}
-
-
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The open pages of all partitions, in order: what they lack is beside them."""
-    before = row = None
-
-    def side(name: str, other: dict | None) -> dict | None:
-        keys = row[f"{name}_keys"]
-        return other if keys is None else {"host": row["host"], "keys": keys}
-
-    def done(after: dict | None) -> pa.RecordBatch:
-        text = _text(row, side("before", before), side("after", after))
-        return _emit([{"page_id": row["page_id"], "url": row["url"], "text": text, "lone": False}])
-
-    for batch in batches:
-        for k in range(batch.num_rows):
-            after = batch.slice(k, 1).to_pylist()[0]
-            if row is not None:
-                yield done(after)
-            before, row = row, after
-    if row is not None:
-        yield done(None)
+def _compared(last: bool):
+    """Texts (open is null) of the pages of a sorted partition.  Unless it is the last pass, the NEAR pages at each of its ends stay
+    open, and they and as many beside them go to the next pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: list[_Page] = []  # those before the one that is next, and it, and those behind it
+        at = number = 0  # the place in `pages` of the one that is next; and its number in the partition
+        head: list[_Page] = []
+        out: list[dict] = []
+
+        def step() -> None:
+            nonlocal at, number
+            page = pages[at]
+            if last or number >= NEAR:
+                out.extend(page.done(pages[max(0, at - NEAR) : at] + pages[at + 1 : at + 1 + NEAR]))
+                page.rows = []
+            at, number = at + 1, number + 1
+            if at > 2 * NEAR:
+                del pages[0]
+                at -= 1
+
+        for batch in batches:
+            for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
+                for row in part.to_pylist():
+                    wanted = row.pop("open", True)
+                    page = _Page(row)
+                    if not pages or pages[-1].own != page.own or pages[-1].row["host"] != row["host"]:
+                        pages.append(page)
+                        if len(head) < 2 * NEAR:
+                            head.append(page)
+                        while len(pages) - at > NEAR + 1:
+                            step()
+                    if wanted:
+                        pages[-1].rows.append((row["page_id"], row["url"], row["tie"]))
+                if out:
+                    yield _emit(out)
+                    out = []
+        if last:
+            while at < len(pages):
+                step()
+        else:
+            tail = pages[-2 * NEAR :]
+            open_ = {id(x) for x in head[:NEAR]} | {id(x) for x in pages[-NEAR:]}
+            while at < len(pages):  # what is neither near the beginning nor near the end
+                if number >= NEAR and id(pages[at]) not in open_:
+                    out.extend(pages[at].done(pages[max(0, at - NEAR) : at] + pages[at + 1 : at + 1 + NEAR]))
+                    pages[at].rows = []
+                at, number = at + 1, number + 1
+            for page in [*head, *(x for x in tail if all(x is not y for y in head))]:
+                out.extend(page.end(id(page) in open_))
+        if out:
+            yield _emit(out)
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -329,11 +404,24 @@ def extract(pages: DataFrame) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract(bare, r"^(?://[^/?#]*)?([^?#]*)", 1), r"(?:index)?(?:\.html?)?/?$", "")
     source = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.xxhash64("html").alias("tie"), "html")
     order = ("host", "path", "page_id", "tie")
-    parsed = source.mapInArrow(_parsed, f"page_id bigint, url string, host string, path string, tie bigint, {_LINES}")
-    rows = parsed.repartitionByRange(*order).sortWithinPartitions(*order)
-    first = kept(rows.mapInArrow(_compared, _SCHEMA), "pages")
-    ends = first.where("lone").repartition(1).sortWithinPartitions(*order).mapInArrow(_ends, _SCHEMA)
-    return first.where("not lone").union(ends).select("page_id", "url", "text")
+    rows = source.mapInArrow(_parsed, _ROW).repartitionByRange(*order)
+    found, before, last = [], None, False
+    while True:
+        got = kept(rows.sortWithinPartitions(*order).mapInArrow(_compared(last), _SCHEMA), "pages")
+        found.append(got.where("open is null").select("page_id", "url", "text"))
+        if last:
+            break
+        ends = got.where("open is not null")
+        n = ends.count()
+        parts = max(1, -(-n // END_PAGES))
+        last = parts == 1 or before is not None and 2 * n > before  # copies that fill partitions don't become fewer
+        before = n
+        ends = ends.drop("text")
+        rows = ends.repartition(1) if parts == 1 else ends.repartitionByRange(parts, *order)
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
 
 
 def op2_html_text(spark, sf_dir: str) -> DataFrame:

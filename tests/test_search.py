@@ -128,6 +128,79 @@ def test_kmeans(spark):
     assert kmeans.plus_plus(same, 3, 1).shape == (3, 2)
 
 
+def sequential_draws(seed):
+    """The generator, number by number."""
+    from vectorvote.functions import random
+
+    mask = (1 << 64) - 1
+    while True:
+        seed = (seed + random.GAMMA) & mask
+        z = seed
+        z = ((z ^ (z >> 30)) * random.FIRST) & mask
+        z = ((z ^ (z >> 27)) * random.SECOND) & mask
+        yield z ^ (z >> 31)
+
+
+def test_seeds_and_rounds_one_by_one(spark):
+    """k-means++ seed by seed and Lloyd's rounds point by point, in plain Python, against the operators."""
+    r = np.random.default_rng(8)
+    points = (r.normal(size=(150, 3)) + 4 * r.integers(0, 4, (150, 1))).tolist()
+    seed, k = 1234, 5
+
+    def away(a, b):
+        return sum((x - y) ** 2 for x, y in zip(a, b))
+
+    draw = sequential_draws(seed)
+    chosen = [next(draw) % 150]
+    for _ in range(k - 1):
+        near = [min(away(p, points[c]) for c in chosen) for p in points]
+        target, total = np.float32(next(draw) >> 40) / np.float32(1 << 24), 0.0
+        target = float(target) * sum(near)
+        for i, d in enumerate(near):
+            total += d
+            if total > target:
+                break
+        chosen.append(i)
+    assert kmeans.plus_plus(np.array(points), k, seed).tolist() == [points[c] for c in chosen]
+
+    order = list(range(150))  # a reservoir as large as the table holds the rows in their order
+    centroids, before, rounds, changed = [points[c] for c in chosen], None, 0, 150
+    for rounds in range(1, 26):
+        now = [min(range(k), key=lambda c: (away(points[i], centroids[c]), c)) for i in order]
+        changed = sum(a != b for a, b in zip(now, before)) if before else 150
+        groups = [[points[i] for i in order if now[i] == c] for c in range(k)]
+        centroids = [[sum(x) / len(g) for x in zip(*g)] if g else centroids[c] for c, g in enumerate(groups)]
+        before = now
+        if rounds > 1 and changed <= 8:
+            break
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(points)], "ref_id long, vector array<double>").repartition(3)
+    model = kmeans.train(df, TrainConfig(clusters=k, seed=seed))
+    assert (model.rounds, model.changed) == (rounds, changed) and np.allclose(model.centroids, centroids, atol=1e-9)
+
+
+def test_empty_index(spark, tmp_path):
+    """An index of nothing can be built, saved, exported and searched; it answers that it is not available."""
+    refs, asks = frames(spark, np.zeros((0, 14)), [], [[1] * 14, [2] * 14])
+    vectors = spark.createDataFrame([], "ref_id long, vector array<float>, label string")
+    index = ivf.train_index(vectors, TrainConfig(clusters=4))
+    index.save(str(tmp_path / "empty"))
+    for own in (index, ivf.IvfIndex.load(spark, str(tmp_path / "empty"))):
+        for found in (search.knn_ivf(own, asks), search.knn_bound_exact(own, asks)):
+            got = score.respond(score.classify(asks, found)).collect()
+            assert [(x.found, x.votes, x.status) for x in got] == [(0, 0, 503)] * 2
+    assert ivf.export_binary(index, str(tmp_path / "e.bin")) > 0 and ivf.import_binary(spark, str(tmp_path / "e.bin")).count() == 0
+    assert knn.knn_exact(refs, asks, 5).count() == 0
+
+
+def test_many_queries_of_one_list_are_sliced(spark, clustered, monkeypatch):
+    points, labels, queries, centroids = clustered
+    monkeypatch.setattr(search, "QUERY_SLICE", 4)
+    refs, asks = frames(spark, points, labels, queries)
+    index = ivf.build(refs, centroids)
+    assert as_dict(search.knn_ivf(index, asks, SearchConfig(nprobe=12, fast_nprobe=12))) == brute(points, queries, 5)
+    assert as_dict(search.knn_bound_exact(index, asks, SearchConfig(nprobe=12, fast_nprobe=1))) == brute(points, queries, 5)
+
+
 def test_engine_and_stream(spark, tmp_path):
     from tests.test_scalar import request
     from vectorvote.streaming.score import read_stream, score_stream

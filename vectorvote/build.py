@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from .config import DIMENSIONS, TrainConfig
 from .operators import ivf
@@ -34,7 +34,7 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("--rounds", type=int, default=preset.rounds)
     args = parser.parse_args(arguments)
     spark = SparkSession.builder.getOrCreate()
-    rows = read_references(spark, args.references, DIMENSIONS).withColumn("ref_id", F.xxhash64("vector", "label"))
+    rows = read_references(spark, args.references, DIMENSIONS)
     build_index(rows, args.index, TrainConfig.offline(clusters=args.clusters, sample=args.sample, rounds=args.rounds), args.binary)
 
 

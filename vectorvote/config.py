@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import os
-from dataclasses import asdict, dataclass, fields
+from dataclasses import dataclass, fields
 
 #: Fixed values of the data format: dimensions of a feature vector, quantisation scale, range of a quantised value, block width.
 DIMENSIONS, SCALE, BLOCK_LANES = 14, 10_000, 8
@@ -45,9 +45,6 @@ class NormalizationConfig:
             raise ConfigError(f"{path}: missing {e}") from e
 
 
-#: Values of ours for data without a configuration of its own.
-DEFAULT_NORMALIZATION = NormalizationConfig(10_000, 12, 10, 1_440, 1_000, 20, 10_000)
-DEFAULT_MCC_RISK = {"5411": 0.15, "5912": 0.2, "7801": 0.8, "7802": 0.75}
 UNKNOWN_MCC_RISK = 0.5
 
 
@@ -105,7 +102,6 @@ class TrainConfig:
     #: Fixed value: the sample's seed.
     seed: int = 0x51F1_2026_D15C_A11E
     require_enough: bool = False
-    final_reassign: bool = False
 
     @classmethod
     def offline(cls, **other) -> TrainConfig:
@@ -119,7 +115,3 @@ def load_json(path: str):
             return json.load(f)
     except (OSError, ValueError) as e:
         raise ConfigError(f"{path}: {e}") from e
-
-
-def as_json(config) -> str:
-    return json.dumps(asdict(config), sort_keys=True)

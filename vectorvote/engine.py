@@ -11,6 +11,7 @@ from .functions.features import vectorize
 from .functions.scalar import quantize_array
 from .operators import ivf, score, search
 from .sources.readers import load_mcc_risk, read_references, request_error
+from .storage import kept
 
 
 class EngineError(RuntimeError):
@@ -40,8 +41,7 @@ class Engine:
 
     @classmethod
     def train_from_json(cls, spark: SparkSession, path: str, normalization: NormalizationConfig, risk: dict[str, float], train: TrainConfig = TrainConfig(), config: SearchConfig = SearchConfig()) -> Engine:
-        rows = read_references(spark, path).withColumn("ref_id", F.xxhash64("vector", "label"))
-        return cls.train(rows, normalization, risk, train, config)
+        return cls.train(read_references(spark, path), normalization, risk, train, config)
 
     def reference_count(self) -> int:
         return self.index.centroids.agg(F.sum("n")).first()[0] or 0
@@ -57,7 +57,8 @@ class Engine:
     def score_batch(self, requests: DataFrame) -> DataFrame:
         """id, approved, fraud_score, status and body for request rows; bad requests get their error, not an exception."""
         rows = requests.withColumn("error", request_error()).withColumn("query_id", F.xxhash64("id", F.to_json(F.struct("transaction", "customer", "merchant", "terminal", "last_transaction"))))
-        good = vectorize(rows.where("error is null"), self.normalization, self.risk).select("query_id", "vector").dropDuplicates(["query_id"])
-        scored = self.classify_knn(good).withColumnRenamed("error", "unavailable")
+        vector = F.when(F.col("error").isNull(), F.col("vector")).alias("vector")
+        rows = kept(vectorize(rows, self.normalization, self.risk).select("id", "query_id", "error", vector), "requests")
+        scored = self.classify_knn(rows.where("error is null").select("query_id", "vector").dropDuplicates(["query_id"])).withColumnRenamed("error", "unavailable")
         both = rows.select("id", "query_id", "error").join(scored, "query_id", "left").withColumn("error", F.coalesce("error", "unavailable"))
         return score.respond(both).select("id", "approved", F.col("fraud_score").cast("float").alias("fraud_score"), "status", "body")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import UNKNOWN_MCC_RISK, NormalizationConfig
-from .scalar import amount_vs_average, bool_to_unit, clamp_ratio, divide, f32, parse_utc, whole_seconds
+from .scalar import amount_vs_average, bool_to_unit, clamp, clamp_ratio, divide, f32, parse_utc, whole_seconds
 
 #: Order of the vector.
 FEATURES = ("amount", "installments", "amount_vs_avg", "hour_of_day", "day_of_week", "minutes_since_last_tx", "km_from_last_tx", "km_from_home", "tx_count_24h", "is_online", "card_present", "unknown_merchant", "mcc_risk", "merchant_avg_amount")
@@ -16,11 +16,12 @@ def unknown_merchant(known: Column, merchant: Column) -> Column:
     return F.when(F.coalesce(F.array_contains(known, merchant), F.lit(False)), f32(0)).otherwise(f32(1))
 
 
-def since_last(last: Column, now: Column, config: NormalizationConfig) -> tuple[Column, Column]:
-    """Minutes and kilometres since the last transaction; both -1 without one."""
-    minutes = divide(whole_seconds(now, parse_utc(last["timestamp"])).cast("float"), f32(60))
+def since_last(last: Column, then: Column, now: Column, config: NormalizationConfig) -> tuple[Column, Column]:
+    """Minutes and kilometres since the last transaction, which was at the instant `then`; both -1 without one."""
+    minutes = divide(whole_seconds(now, then).cast("float"), f32(60))
+    share = f32(0) if config.max_minutes <= 0 else clamp(divide(minutes, f32(config.max_minutes)))
     none = last.isNull()
-    return F.when(none, f32(MISSING)).otherwise(clamp_ratio(minutes, config.max_minutes)), F.when(none, f32(MISSING)).otherwise(clamp_ratio(last["km_from_current"], config.max_km))
+    return F.when(none, f32(MISSING)).otherwise(share), F.when(none, f32(MISSING)).otherwise(clamp_ratio(last["km_from_current"], config.max_km))
 
 
 def mcc_table(spark, risk: dict[str, float]) -> DataFrame:
@@ -43,9 +44,11 @@ def with_mcc_risk(rows: DataFrame, mcc: Column, risk: dict[str, float] | DataFra
 def vectorize(requests: DataFrame, config: NormalizationConfig, risk: dict[str, float] | DataFrame, column: str = "vector") -> DataFrame:
     """Adds `vector`, an array of 14 floats, to rows with the columns of a request."""
     c = F.col
-    now = parse_utc(c("transaction.requested_at"))
-    minutes, km = since_last(c("last_transaction"), now, config)
-    rows = with_mcc_risk(requests, c("merchant.mcc"), risk, "__risk_of_mcc")
+    # each instant is parsed once, in a projection that stays, as its columns are named several times
+    parsed = requests.withColumns({"__now": parse_utc(c("transaction.requested_at")), "__then": parse_utc(c("last_transaction.timestamp"))})
+    now = c("__now")
+    minutes, km = since_last(c("last_transaction"), c("__then"), now, config)
+    rows = with_mcc_risk(parsed, c("merchant.mcc"), risk, "__risk_of_mcc")
     vector = F.array(
         clamp_ratio(c("transaction.amount"), config.max_amount),
         clamp_ratio(c("transaction.installments"), config.max_installments),
@@ -62,4 +65,4 @@ def vectorize(requests: DataFrame, config: NormalizationConfig, risk: dict[str,
         c("__risk_of_mcc"),
         clamp_ratio(c("merchant.avg_amount"), config.max_merchant_avg_amount),
     )
-    return rows.withColumn(column, vector).drop("__risk_of_mcc")
+    return rows.withColumn(column, vector).drop("__risk_of_mcc", "__now", "__then")

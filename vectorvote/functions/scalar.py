@@ -21,20 +21,25 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b).cast("float")
 
 
-def clamp_unit(x: Column) -> Column:
-    """Into [0, 1]; NaN stays."""
-    return F.when(F.isnan(x), x).otherwise(F.least(F.greatest(x, f32(0)), f32(1)))
+def clamp_unit(x: Column, source: Column | None = None) -> Column:
+    """Into [0, 1]; NaN stays.  `source`: a plainer expression that is NaN where x is, so that x is named, and evaluated, once."""
+    return F.when(F.isnan(x if source is None else source), f32(float("nan"))).otherwise(clamp(x))
+
+
+def clamp(x: Column) -> Column:
+    """Into [0, 1], for what is never NaN."""
+    return F.least(F.greatest(x, f32(0)), f32(1))
 
 
 def clamp_ratio(value: Column, top: float) -> Column:
     """value / top, clamped; 0 where top isn't positive."""
-    return f32(0) if top <= 0 else clamp_unit(divide(f32(value), f32(top)))
+    return f32(0) if top <= 0 else clamp_unit(divide(f32(value), f32(top)), f32(value))
 
 
 def amount_vs_average(amount: Column, average: Column, ratio: float) -> Column:
     """(amount / average) / ratio, clamped; without a positive average, 0 for no amount and else 1."""
     a, m = f32(amount), f32(average)
-    return F.when(m <= 0, F.when(a <= 0, f32(0)).otherwise(f32(1))).otherwise(clamp_unit(divide(divide(a, m), f32(ratio))))
+    return F.when(m <= 0, F.when(a <= 0, f32(0)).otherwise(f32(1))).otherwise(clamp_unit(divide(divide(a, m), f32(ratio)), divide(a, m)))
 
 
 def bool_to_unit(b: Column) -> Column:
@@ -72,7 +77,3 @@ def l2_within(a: Column, b: Column, most: Column, kind: str = "bigint") -> Colum
     """The squared distance, or null beyond `most`; equality stays."""
     d = l2_squared(a, b, kind)
     return F.when(d <= most, d)
-
-
-def is_fraud(label: Column) -> Column:
-    return label == F.lit("fraud")

@@ -26,11 +26,15 @@ PART = 4_096
 class IvfIndex:
     centroids: DataFrame
     lists: DataFrame
+    _matrix: tuple | None = None
 
     def matrix(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """cluster ids, quantised centroids and radii on the driver: k rows."""
-        rows = self.centroids.orderBy("cluster_id").collect()
-        return np.array([r["cluster_id"] for r in rows], np.int64), np.array([r["c"] for r in rows], np.float64).reshape(len(rows), -1), np.array([r["radius"] for r in rows], np.float64)
+        """cluster ids, quantised centroids and radii on the driver: k rows, read once."""
+        if self._matrix is None:
+            rows = self.centroids.orderBy("cluster_id").collect()
+            c = np.array([r["c"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, DIMENSIONS))
+            self._matrix = np.array([r["cluster_id"] for r in rows], np.int64), c, np.array([r["radius"] for r in rows], np.float64)
+        return self._matrix
 
     def save(self, path: str) -> None:
         self.centroids.write.parquet(f"{path}/centroids")
@@ -106,8 +110,8 @@ def export_binary(index: IvfIndex, path: str) -> int:
     _, c, r = index.matrix()
     rows = index.lists.select("cluster_id", "slot", "label", "q").orderBy("cluster_id", "slot").toPandas()
     label = np.where(rows["label"] == "fraud", codec.FRAUD_BYTE, codec.LEGIT_BYTE).astype(np.uint8)
-    values = np.array(rows["q"].tolist(), "<i2").reshape(len(rows), -1)
-    raw = codec.pack(c, r, rows["cluster_id"].to_numpy(np.int64), label, values if len(rows) else np.zeros((0, c.shape[1] if len(c) else DIMENSIONS), "<i2"))
+    values = np.array(rows["q"].tolist(), "<i2").reshape(len(rows), c.shape[1])
+    raw = codec.pack(c, r, rows["cluster_id"].to_numpy(np.int64), label, values)
     codec.publish_to(index.lists.sparkSession, raw, path)
     return len(raw)
 
@@ -120,7 +124,7 @@ def import_binary(spark: SparkSession, path: str, dims: int | None = DIMENSIONS)
         for frame in frames:
             for raw in frame["content"]:
                 cluster, label, values = codec.unpack(bytes(raw), dims).rows()
-                for a in range(0, max(1, len(cluster)), 50_000):
+                for a in range(0, len(cluster), 50_000):
                     part = slice(a, a + 50_000)
                     yield pd.DataFrame({"ref_id": np.arange(len(cluster))[part], "cluster_id": cluster[part], "label": np.where(label[part] == codec.FRAUD_BYTE, "fraud", "legit"), "q": list(values[part].astype(np.int32))})
 

@@ -1,7 +1,7 @@
 """Searches of an index: a fast probe, a second one for undecided queries, and an exact search by the lists' radii.
 
 Queries rank the broadcast centroids where they lie.  Probes then join parts of lists: a group is one part (of at most 4,096
-references) and one slice of the queries that probe it, so neither a long list nor a popular one makes a group grow, and each
+references) and one slice of the queries that probe its list, so neither a long list nor a popular one makes a group grow, and each
 group sends its k nearest only.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import SearchConfig
 from ..storage import kept
-from .ivf import IvfIndex
+from .ivf import PART, IvfIndex
 from .knn import NEIGHBOURS, matrix, near_places, smallest, squared_distances, top_k
 
 #: Queries that one group compares with a part, about.
@@ -46,11 +46,15 @@ def probes(index: IvfIndex, queries: DataFrame, first: int, last: int | None = N
 
 def scan(index: IvfIndex, wanted: DataFrame, k: int, queries: int) -> DataFrame:
     """The k nearest of each probe's list, by parts.  wanted: query_id, q, cluster_id; queries: about how many ask."""
-    slices = max(1, queries // QUERY_SLICE)
-    parts = index.centroids.where("n > 0").select("cluster_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n - 1) div 4096"))).alias("part"))
-    asks = wanted.join(parts, "cluster_id").select("cluster_id", "part", F.pmod(F.xxhash64("query_id"), F.lit(slices)).alias("slice"), "query_id", "q")
-    probed = asks.select(F.col("cluster_id").alias("at_cluster"), F.col("part").alias("at_part"), F.col("slice").alias("at_slice")).distinct()
-    held = index.lists.join(probed, (F.col("cluster_id") == F.col("at_cluster")) & (F.col("part") == F.col("at_part"))).select("at_cluster", "at_part", "at_slice", "ref_id", "label", "q")
+    if queries <= QUERY_SLICE:
+        asked = wanted.select("cluster_id").distinct().withColumn("slices", F.lit(1))
+    else:  # a list goes to as many slices as its own queries fill
+        asked = wanted.groupBy("cluster_id").agg(F.expr(f"cast((count(*) - 1) div {QUERY_SLICE} + 1 as int)").alias("slices"))
+    parts = index.centroids.where("n > 0").select("cluster_id", F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {PART}")).alias("parts"))
+    parts = F.broadcast(parts if queries <= QUERY_SLICE else parts.join(asked, "cluster_id"))  # a row a cluster
+    slices = F.lit(1) if queries <= QUERY_SLICE else F.col("slices")
+    asks = wanted.join(parts, "cluster_id").select("cluster_id", F.explode("parts").alias("part"), F.pmod(F.xxhash64("query_id"), slices).cast("int").alias("slice"), "query_id", "q")
+    held = index.lists.join(F.broadcast(asked), "cluster_id").select(F.col("cluster_id").alias("at_cluster"), F.col("part").alias("at_part"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("at_slice"), "ref_id", "label", "q")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = [x.split()[0] for x in NEIGHBOURS.split(", ")]
@@ -72,7 +76,8 @@ def scan(index: IvfIndex, wanted: DataFrame, k: int, queries: int) -> DataFrame:
 
 def knn_ivf(index: IvfIndex, queries: DataFrame, config: SearchConfig = SearchConfig(), adaptive: bool = True) -> DataFrame:
     """query_id, rank, ref_id, d and label: the nearest of the fast lists; undecided queries see the further lists, too."""
-    k, clusters = config.k, index.centroids.count()
+    k, clusters = config.k, len(index.matrix()[0])
+    queries = kept(queries.select("query_id", "q"), "queries")
     n = queries.count()
     fast, full = config.fast(clusters), config.full(clusters)
     first = top_k(scan(index, probes(index, queries, 1, fast), k, n), k)
@@ -105,7 +110,8 @@ def may_hold(compat: bool = False):
 
 def knn_bound_exact(index: IvfIndex, queries: DataFrame, config: SearchConfig = SearchConfig()) -> DataFrame:
     """Exact nearest neighbours: after the fast lists, all lists whose ball may hold a nearer one."""
-    k, fast, n = config.k, config.fast(index.centroids.count()), queries.count()
+    queries = kept(queries.select("query_id", "q"), "queries")
+    k, fast, n = config.k, config.fast(len(index.matrix()[0])), queries.count()
     first = kept(top_k(scan(index, probes(index, queries, 1, fast), k, n), k), "first")
     left = probes(index, queries, fast + 1).join(_state(first, k).select("query_id", "worst"), "query_id", "left")
     second = scan(index, left.where(may_hold()), k, n)

@@ -17,31 +17,44 @@ def _with(*parts: str) -> str:
 
 _D = "CAST(list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2])::BIGINT * (z[1] - z[2])::BIGINT)) AS BIGINT)"
 V = "v AS (SELECT vec_id AS ref_id, CASE WHEN label < 3 THEN 'fraud' ELSE 'legit' END AS label, list_transform(embedding, lambda x: CAST(greatest(-32768, least(32767, round(x * 10000::FLOAT))) AS INTEGER)) AS q FROM embeddings)"
-R = "r AS (SELECT * FROM v WHERE ref_id % 10 <> 0)"
-A = "a AS (SELECT ref_id AS query_id, q FROM v WHERE ref_id % 10 = 0)"
+R = "r AS (SELECT * FROM v)"
+A = "a AS (SELECT ref_id AS query_id, q FROM v WHERE ref_id % 100 = 0)"
 C = "c AS (SELECT CAST(ref_id AS INTEGER) AS cluster_id, q AS c FROM v WHERE ref_id < 16)"
-KNN = f"n AS (SELECT * FROM (SELECT query_id, ref_id, label, d, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM (SELECT query_id, ref_id, label, {_D.format('a.q', 'r.q')} AS d FROM a, r)) WHERE rank <= 5)"
+KNN = f"n AS (SELECT * FROM (SELECT query_id, ref_id, label, d, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM (SELECT query_id, ref_id, label, {_D.format('a.q', 'r.q')} AS d FROM a, r WHERE r.ref_id <> a.query_id)) WHERE rank <= 5)"
 
 
-def _assigned(source: str) -> str:
+def _assigned(source: str, centroids: str = "c", name: str = "s") -> str:
     """ref_id, q, label, cluster_id and d of the nearest centroid."""
-    return f"s AS (SELECT * FROM (SELECT ref_id, {source}.q, label, cluster_id, {_D.format(f'{source}.q', 'c.c')} AS d, row_number() OVER (PARTITION BY ref_id ORDER BY {_D.format(f'{source}.q', 'c.c')}, cluster_id) AS k FROM {source}, c) WHERE k = 1)"
+    c = centroids
+    return f"{name} AS MATERIALIZED (SELECT * FROM (SELECT ref_id, {source}.q, label, cluster_id, {_D.format(f'{source}.q', f'{c}.c')} AS d, row_number() OVER (PARTITION BY ref_id ORDER BY {_D.format(f'{source}.q', f'{c}.c')}, cluster_id) AS k FROM {source}, {c}) WHERE k = 1)"
+
+
+def _round(before: str, after: str) -> tuple[str, str]:
+    """A round of k-means over r: the next centroids, in whole numbers; a cluster without rows keeps its own."""
+    s = f"s_{after}"
+    means = f"SELECT cluster_id, list(CAST(round(CAST(t AS DOUBLE) / n) AS INTEGER) ORDER BY i) AS c FROM (SELECT cluster_id, i, sum(q[i]) AS t, count(*) AS n FROM {s}, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster_id, i) GROUP BY cluster_id"
+    return _assigned("r", before, s), f"{after} AS MATERIALIZED (SELECT b.cluster_id, coalesce(m.c, b.c) AS c FROM {before} b LEFT JOIN ({means}) m ON b.cluster_id = m.cluster_id)"
 
 
 SIZES = "z AS (SELECT c.cluster_id, count(s.ref_id) AS n FROM c LEFT JOIN s ON c.cluster_id = s.cluster_id GROUP BY c.cluster_id)"
 OFFSETS = "o AS (SELECT cluster_id, n, CAST(sum(n) OVER w - n AS BIGINT) AS list_start, CAST(ceil(n / 8) AS BIGINT) AS blocks, CAST(sum(CAST(ceil(n / 8) AS BIGINT)) OVER w - CAST(ceil(n / 8) AS BIGINT) AS BIGINT) AS block_start FROM z WINDOW w AS (ORDER BY cluster_id))"
 PLACED = "l AS (SELECT ref_id, label, s.q, cluster_id, slot, block_start + slot // 8 AS block, slot % 8 AS lane FROM (SELECT s.*, row_number() OVER (PARTITION BY cluster_id ORDER BY ref_id) - 1 AS slot FROM s) s JOIN o USING (cluster_id))"
-INDEX = (V, R, A, C, _assigned("r"))
+TRAINED = (C.replace("c AS", "c0 AS", 1), *_round("c0", "c1"), *_round("c1", "c2"), *_round("c2", "c"))
+INDEX = (V, R, A, *TRAINED, _assigned("r"))
 PROBES = f"p AS (SELECT query_id, a.q, cluster_id, {_D.format('a.q', 'c.c')} AS d, row_number() OVER (PARTITION BY query_id ORDER BY {_D.format('a.q', 'c.c')}, cluster_id) AS rank FROM a, c)"
 
 
 def _found(name: str, probes: str) -> str:
-    return f"{name} AS (SELECT * FROM (SELECT query_id, ref_id, label, d, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM (SELECT query_id, ref_id, label, {_D.format('p.q', 's.q')} AS d FROM p JOIN s USING (cluster_id) WHERE {probes})) WHERE rank <= 5)"
+    return f"{name} AS (SELECT * FROM (SELECT query_id, ref_id, label, d, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM (SELECT query_id, ref_id, label, {_D.format('p.q', 's.q')} AS d FROM p JOIN s USING (cluster_id) WHERE {probes})) WHERE rank <= 6)"
+
+
+def _others(source: str, name: str) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT query_id, ref_id, label, d, row_number() OVER (PARTITION BY query_id ORDER BY d, ref_id) AS rank FROM {source} WHERE ref_id <> query_id) WHERE rank <= 5)"
 
 
-FIRST = _found("f", "p.rank <= 2")
-UNDECIDED = "u AS (SELECT query_id FROM f GROUP BY query_id HAVING count(*) FILTER (label = 'fraud') IN (2, 3))"
-ADAPTIVE = _found("n", "p.rank <= 2 OR (p.rank <= 6 AND query_id IN (SELECT query_id FROM u))")
+FIRST = _found("f", "p.rank <= 12")
+UNDECIDED = "u AS (SELECT query_id FROM f GROUP BY query_id HAVING count(*) FILTER (label = 'fraud') IN (3, 4))"
+ADAPTIVE = _found("n6", "p.rank <= 12 OR (p.rank <= 14 AND query_id IN (SELECT query_id FROM u))") + ", " + _others("n6", "n")
 _VOTES = "SELECT a.query_id, count(n.ref_id) AS found, count(*) FILTER (n.label = 'fraud') AS votes, count(*) FILTER (n.label = 'fraud') / count(n.ref_id) AS fraud_score, count(*) FILTER (n.label = 'fraud') / count(n.ref_id) < 0.6 AS approved FROM a LEFT JOIN n ON a.query_id = n.query_id GROUP BY a.query_id"
 _NEIGHBOURS = "SELECT query_id, CAST(rank AS INTEGER) AS rank, ref_id, d, label FROM "
 LLOYD = "m AS (SELECT cluster_id, list(CAST(s AS DOUBLE) / n ORDER BY i) AS c FROM (SELECT cluster_id, i, sum(q[i]) AS s, count(*) AS n FROM s, (SELECT unnest(range(1, 65)) AS i) GROUP BY cluster_id, i) GROUP BY cluster_id), c1 AS (SELECT c.cluster_id, coalesce(m.c, list_transform(c.c, lambda x: x::DOUBLE)) AS c FROM c LEFT JOIN m USING (cluster_id))"
@@ -57,7 +70,7 @@ X = "x AS (SELECT event_id, [" + ", ".join([
     f"CASE WHEN last_micros IS NULL THEN -1::FLOAT ELSE {_ratio('event_id * 3 % 900', 1000)} END", _ratio("event_id * 7 % 1200", 1000), _ratio("tx_24h", 20), "(event_id % 2 = 0)::INTEGER::FLOAT",
     "(event_id % 3 = 0)::INTEGER::FLOAT", "CASE WHEN known THEN 0::FLOAT ELSE 1::FLOAT END", _RISK, _ratio("coalesce(type_avg, 0)", 100),
 ]) + "] AS vector FROM d LEFT JOIN t USING (event_type))"
-XQ = "v AS (SELECT event_id AS ref_id, CASE WHEN event_id % 3 = 0 THEN 'fraud' ELSE 'legit' END AS label, list_transform(vector, lambda y: CAST(greatest(-32768, least(32767, round(y * 10000::FLOAT))) AS INTEGER)) AS q FROM x), r AS (SELECT * FROM v WHERE ref_id % 100 <> 0), a AS (SELECT ref_id AS query_id, q FROM v WHERE ref_id % 100 = 0)"
+XQ = "v AS (SELECT event_id AS ref_id, CASE WHEN event_id % 3 = 0 THEN 'fraud' ELSE 'legit' END AS label, list_transform(vector, lambda y: CAST(greatest(-32768, least(32767, round(y * 10000::FLOAT))) AS INTEGER)) AS q FROM x), r AS (SELECT * FROM v), a AS (SELECT ref_id AS query_id, q FROM v WHERE ref_id % 100 = 0)"
 _M64 = "18446744073709551616::UHUGEINT"
 RESERVOIR = f"""WITH i AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events),
 z0 AS (SELECT event_id, place, ((42::UHUGEINT + (place - 199)::UHUGEINT * 11400714819323198485::UHUGEINT) % {_M64})::UBIGINT AS z FROM i WHERE place >= 200),
@@ -68,8 +81,8 @@ SELECT slot, arg_max(event_id, place) AS event_id FROM w WHERE slot < 200 GROUP
 
 ORACLE = {
     "quantize_embeddings": _with(V) + "SELECT ref_id AS vec_id, CAST(i - 1 AS INTEGER) AS dim, q[i] AS q FROM (SELECT ref_id, q, unnest(range(1, len(q) + 1)) AS i FROM v)",
-    "l2_pairs": _with(V) + f"SELECT x.ref_id AS query_id, y.ref_id, {_D.format('x.q', 'y.q')} AS d FROM v x, v y WHERE x.ref_id < 20",
-    "l2_threshold": _with(V) + f"SELECT query_id, ref_id, CASE WHEN d <= 170000000 THEN d END AS d FROM (SELECT x.ref_id AS query_id, y.ref_id, {_D.format('x.q', 'y.q')} AS d FROM v x, v y WHERE x.ref_id < 20)",
+    "l2_pairs": _with(V) + f"SELECT x.ref_id AS query_id, y.ref_id, {_D.format('x.q', 'y.q')} AS d FROM v x, v y WHERE x.ref_id % 100 = 0",
+    "l2_threshold": _with(V) + f"SELECT query_id, ref_id, CASE WHEN d <= 170000000 THEN d END AS d FROM (SELECT x.ref_id AS query_id, y.ref_id, {_D.format('x.q', 'y.q')} AS d FROM v x, v y WHERE x.ref_id % 100 = 0)",
     "l2_neighbours": _with(V) + f"SELECT x.ref_id AS vec_id, round(list_sum(list_transform(list_zip(e.embedding, g.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 6) AS l2, CASE WHEN {_D.format('x.q', 'y.q')} <= 200000000 THEN {_D.format('x.q', 'y.q')} END AS within FROM v x JOIN v y ON y.ref_id = x.ref_id + 1 JOIN embeddings e ON e.vec_id = x.ref_id JOIN embeddings g ON g.vec_id = y.ref_id",
     "knn_exact": _with(V, R, A, KNN) + _NEIGHBOURS + "n",
     "knn_classify": _with(V, R, A, KNN) + _VOTES,
@@ -84,9 +97,9 @@ ORACLE = {
     "block_offsets": _with(*INDEX, SIZES, OFFSETS) + "SELECT cluster_id, blocks, block_start FROM o",
     "lane_placement": _with(*INDEX, SIZES, OFFSETS, PLACED) + "SELECT ref_id, cluster_id, slot, block, lane FROM l",
     "padded_blocks": _with(*INDEX, SIZES, OFFSETS, PLACED) + "SELECT g.block, g.lane, l.ref_id FROM (SELECT block, unnest(range(0, 8)) AS lane FROM (SELECT unnest(range(0, CAST((SELECT sum(blocks) FROM o) AS BIGINT))) AS block)) g LEFT JOIN l ON g.block = l.block AND g.lane = l.lane",
-    "centroids_transposed": _with(V, C) + "SELECT CAST(i - 1 AS INTEGER) AS dim, cluster_id, c[i] AS value FROM (SELECT cluster_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)",
-    "probe_lists": _with(V, A, C, PROBES) + "SELECT query_id, CAST(rank AS INTEGER) AS rank, cluster_id, d FROM p WHERE rank <= 6",
-    "ivf_fast": _with(*INDEX, PROBES, FIRST) + _NEIGHBOURS + "f",
+    "centroids_transposed": _with(*INDEX) + "SELECT CAST(i - 1 AS INTEGER) AS dim, cluster_id, c[i] AS value FROM (SELECT cluster_id, c, unnest(range(1, len(c) + 1)) AS i FROM c)",
+    "probe_lists": _with(*INDEX, PROBES) + "SELECT query_id, CAST(rank AS INTEGER) AS rank, cluster_id, d FROM p WHERE rank <= 14",
+    "ivf_fast": _with(*INDEX, PROBES, FIRST, _others("f", "n")) + _NEIGHBOURS + "n",
     "ivf_adaptive": _with(*INDEX, PROBES, FIRST, UNDECIDED, ADAPTIVE) + _NEIGHBOURS + "n",
     "bound_pruned_knn": _with(V, R, A, KNN) + _NEIGHBOURS + "n",
     "ivf_recall": _with(*INDEX, PROBES, FIRST, UNDECIDED, ADAPTIVE, KNN.replace("n AS", "exact AS", 1)) + "SELECT count(n.ref_id) AS hits, count(*) AS wanted FROM exact LEFT JOIN n ON exact.query_id = n.query_id AND exact.ref_id = n.ref_id",
@@ -103,7 +116,8 @@ ORACLE = {
     "timestamp_validation": "WITH k AS (SELECT event_id, ts, CASE event_id % 5 WHEN 1 THEN 'not-a-timestamp' WHEN 2 THEN strftime(ts, '%Y-%m-%d') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS bad FROM events) SELECT event_id, CASE WHEN bad IS NULL THEN 200 ELSE 400 END AS status, 'invalid timestamp: ' || bad AS error, CAST(CASE WHEN bad IS NULL THEN (hour(ts) + CASE WHEN event_id % 5 = 4 THEN 22 ELSE 0 END) % 24 END AS INTEGER) AS utc_hour FROM k",
     "response_encode": _with(V, R, A, KNN) + f"SELECT query_id, '{{\"approved\":' || approved || ',\"fraud_score\":' || CAST(fraud_score AS FLOAT) || '}}' AS body FROM ({_VOTES})",
     "score_events": _with(E, D, T, X, XQ, KNN) + _VOTES,
-    "stream_score": _with(E, D, T, X, XQ, KNN) + f"SELECT query_id AS event_id, approved, round(fraud_score::FLOAT::DOUBLE, 6) AS fraud_score, 200 AS status FROM ({_VOTES})",
+    "stream_score": _with(E, D, T, X, XQ, KNN.replace(" WHERE r.ref_id <> a.query_id", "")) + f"SELECT query_id AS event_id, approved, round(fraud_score::FLOAT::DOUBLE, 6) AS fraud_score, 200 AS status FROM ({_VOTES})",
     "reservoir_sample": RESERVOIR,
     "index_roundtrip": _with(*INDEX, SIZES, OFFSETS, PLACED) + "SELECT row_number() OVER (ORDER BY cluster_id, slot) - 1 AS ref_id, cluster_id, label, list_reduce(list_prepend(0::BIGINT, list_transform(q, lambda y: y::BIGINT)), lambda m, y: m * 3 % 1000003 + y) AS digest FROM l",
+    "empty_index": _with(V, A) + "SELECT query_id, 0 AS found, 0 AS votes, NULL::BOOLEAN AS approved, 503 AS status FROM a",
 }

@@ -111,6 +111,7 @@ def publish_to(spark, raw: bytes, path: str) -> None:
         out.write(bytearray(raw))
     finally:
         out.close()
-    store.delete(target, False)
-    if not store.rename(beside, target):
-        raise OSError(f"{path} can't be written")
+    # one step, so that a reader finds the old file or the new one
+    overwrite = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+    overwrite[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+    hadoop.FileContext.getFileContext(store.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(beside, target, overwrite)

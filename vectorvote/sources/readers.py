@@ -49,10 +49,12 @@ def reference_error(dimensions: int = DIMENSIONS) -> Column:
 
 
 def read_references(spark: SparkSession, path: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """Labelled vectors of a JSON array, gzipped or not: vector and label, all rows valid or an error when it runs."""
+    """Labelled vectors of JSON arrays, gzipped or not: ref_id (rising in a file's order), vector and label, all rows valid or an error when
+    it runs.  Spark parses an array in one pass, one task a file, without holding it; several files are read in parallel."""
     rows = spark.read.schema(REFERENCE).option("multiLine", True).json(path)
     wrong = reference_error(dimensions)
-    return rows.select(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("array<float>")).otherwise(F.col("vector")).alias("vector"), "label")
+    valid = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("array<float>")).otherwise(F.col("vector"))
+    return rows.select(F.monotonically_increasing_id().alias("ref_id"), valid.alias("vector"), "label")
 
 
 def load_mcc_risk(path: str) -> dict[str, float]:

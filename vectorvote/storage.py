@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; where that is unset, as in tests, in a temporary folder."""
+    """A new path in spark.checkpoint.dir; where that is unset and Spark is local, as in tests, in a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         folder = tempfile.mkdtemp(prefix="vectorvote-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/vectorvote-{name}-{uuid.uuid4().hex}"

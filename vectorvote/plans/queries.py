@@ -227,7 +227,7 @@ def event_vectors(spark, sf_dir) -> DataFrame:
 
 
 def vectorize_events(spark, sf_dir):
-    rows = event_vectors(spark, sf_dir).select("event_id", F.posexplode("vector").alias("dim", "value"))
+    rows = event_vectors(spark, sf_dir).select("event_id", F.posexplode_outer("vector").alias("dim", "value"))  # outer: no filter that evaluates the vector once more
     return rows.select("event_id", "dim", _wide(F.col("value")).alias("value"))
 
 

@@ -10,11 +10,11 @@ from vectorvote.llm import ngram_lm as lm
 HELD = "coalesce(crc32(cast(doc_id as string)) % 7 = 2, false)"
 
 
-def brute(rows, discount, share, least):
+def brute(rows, discount, least):
     texts = [([w.lower() for w in (t or "").split()] + [None], i is not None and zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
     c = Counter(w for t, held in texts if not held for w in t)
     n, v = sum(c.values()), len(c)
-    often = {w for w, k in c.items() if k >= max(1, share * n)}
+    often = set(c)
     pairs = Counter(p for t, held in texts if not held for p in zip(t, t[1:]) if p[0] in often and p[1] in often)
     pairs = {p: k for p, k in pairs.items() if k >= least}
     p1 = lambda w: (max(c[w] - discount, 0) + discount * v / (v + 1)) / n
@@ -30,15 +30,15 @@ def brute(rows, discount, share, least):
     return out
 
 
-@pytest.mark.parametrize("share", [0.0, 0.02])
-def test_against_brute_force(spark, share):
+@pytest.mark.parametrize("min_pair", [1, 2])
+def test_against_brute_force(spark, min_pair):
     r = np.random.default_rng(3)
     vocab = ["the", "The", "of", "é", "x1", "a.", *(f"r{k}" for k in range(50))]
     rows = [(k, " ".join(r.choice(vocab, int(r.integers(0, 40)), p=np.r_[[0.1] * 6, [0.008] * 50]))) for k in range(80)]
     rows += [(100, None), (101, ""), (102, "the of " * 30_000), (3, rows[3][1]), (None, "the of null"), (103, "\t never-seen \x0b the")]
     df = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, score int").repartition(3)
-    got = lm.score(df, HELD, share=share).collect()
-    want = brute(rows, lm.DISCOUNT, share, lm.MIN_PAIR)
+    got = lm.score(df, HELD, min_pair=min_pair).collect()
+    want = brute(rows, lm.DISCOUNT, min_pair)
     name = lambda x: (str(x[0]), x[2], round(x[5], 3))
     assert len(got) == len(want)
     for g, w in zip(sorted(map(tuple, got), key=name), sorted(want, key=name)):
@@ -58,5 +58,5 @@ def test_rare_words_are_states(spark):
     # three occurrences in over 400,000 tokens: below 1e-5 of them
     rows = [(100, "the of " * 200_000), *((k, f"rare{k % 5} pair{k % 5} the rare{k % 5}") for k in range(20))]
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), HELD).collect()
-    want = {w[0]: w[6] for w in brute(rows, lm.DISCOUNT, 0.0, lm.MIN_PAIR)}
+    want = {w[0]: w[6] for w in brute(rows, lm.DISCOUNT, lm.MIN_PAIR)}
     assert {g.doc_id: g.score for g in got} == pytest.approx(want, abs=1e-6)

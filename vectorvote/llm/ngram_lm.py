@@ -7,19 +7,20 @@ Model.  Tokens are words and one end for each text.  With c and N counted over t
     P(w | h)  = L(h) * P1(w)                                          else, by the failure arc of h
     L(h)      = 1 - sum over kept arcs hw of (c(hw) - D) / c(h)
 
-States are the empty history and every trained word; an arc hw is kept if the pair occurs MIN_PAIR times or more.  (With `share`,
-only words of that share of the training tokens are states and end arcs.)  A text is read
-once from left to right: the state is the token before; the arc's weight is added, or the failure arc's and the unigram arc's.
+States are the empty history and every trained word; every trained pair hw is an arc.  (With min_pair > 1, pairs that occur less often
+aren't.)  A text is read once from left to right: the state is the token before; the arc's weight is added, or the failure arc's and the unigram arc's.
 
 Execution.  Texts are packed into chunks of bounded size, written once.  Each chunk sends its distinct tokens (then pairs), packed and
 sorted, to the parts of the key space; a part adds up what all chunks sent, and answers each chunk in the order of its
 question.  The parts number the tokens, so a pair is the numbers of its two, and what the arcs take of each history's weight goes from
 the parts of the pairs back to those of the tokens, which answer each chunk once more.  So counts cover the whole corpus, each chunk gets just the piece of the automaton that its texts touch, and a
-frequent token is one entry a chunk.  Nothing is broadcast.  A pair is no more frequent than either word, so words rarer than MIN_PAIR ask for none.
+frequent token is one entry a chunk.  Nothing is broadcast.  A chunk asks a part only for keys that it has, so there are at most as
+many packed rows as chunks' distinct keys: their number and their bytes grow with the input and no faster.  A pair is no more
+frequent than either word, so words that were never trained ask for none.
 
 Defined results: null text counts as empty: one token, the end.  A null doc_id is never held out.  Repeated rows count as often as they
 occur and have equal scores.  Without training documents N = V = 0, base_score = 0, and score = 0.  An empty table gives an
-empty result; extra columns are ignored.  Tokens are told apart by 64-bit hashes of their lower-cased bytes.
+empty result; extra columns are ignored.  A very long text is a chunk by itself, in memory in proportion to its tokens.  Tokens are told apart by 64-bit hashes of their lower-cased bytes.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from .shared import kept
 from .text import BLANK_WORDS, SLICE_BYTES, U64, Words, as_table, flat, mix, slices
 
 MODULUS, HELD = 7, 2
-DISCOUNT, MIN_PAIR = 0.5, 2
+DISCOUNT, MIN_PAIR = 0.75, 1
 CHUNK_BYTES = 12 << 20
 #: Keys that one part adds up, about.
 PART_KEYS = 1_500_000
@@ -236,7 +237,7 @@ class Automaton:
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def score(docs: DataFrame, held: str, discount: float = DISCOUNT, share: float = 0.0, min_pair: int = MIN_PAIR) -> DataFrame:
+def score(docs: DataFrame, held: str, discount: float = DISCOUNT, min_pair: int = MIN_PAIR) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.  `held` is an SQL condition on a row's doc_id."""
     spark = docs.sparkSession
     packed = kept(chunks(docs, held), "texts")
@@ -252,7 +253,7 @@ def score(docs: DataFrame, held: str, discount: float = DISCOUNT, share: float =
     tokens_said = kept(packed.mapInArrow(ask_tokens, _ASK).groupBy("part").applyInPandas(_add_up(min_pair, discount, parts, False), _ANSWER), "tokens")
     n = tokens_said.where("kind = 'total'").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = int(n["n"] or 0), int(n["v"] or 0)
-    often = max(1, share * tokens, min_pair)  # a pair with a rarer token is too rare
+    often = max(1, min_pair)  # a pair with a rarer token is too rare
     answers = tokens_said.where("kind = 'answer'").select("kind", "chunk", "part", "counts", "numbers")
 
     def ask_pairs(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 
+#: Encoded data: letters, but in no language.
+NOISE = "".join(np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyz0123456789+/"), 700))
+
+
 def tokens(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
 
 
 def brute(docs, items):
     """doc_id -> text after the first four stages."""
-    docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t)]
+    docs = [(i, t) for i, t in docs if t and any(c.isalpha() for c in t) and t != NOISE]
     # later occurrences of three consecutive lines
     seen, out = {}, []
     for i, t in sorted(docs):
@@ -79,7 +83,7 @@ def folder(spark, tmp_path_factory):
     shared = "\n".join(line("en") for _ in range(4))
     bench = " ".join(r.choice(vocab["en"], 14))
     rows += [(k, rows[k - 100][1] + "\n" + shared, "en") for k in (100, 103, 106)]
-    rows += [(200, rows[0][1], "en"), (201, f"Before {bench} after it all.", "en"), (202, bench, "en"), (203, None, "en"), (204, "123 456", "en"), (205, "", None)]
+    rows += [(200, rows[0][1], "en"), (201, f"Before {bench} after it all.", "en"), (202, bench, "en"), (203, None, "en"), (204, "123 456", "en"), (205, "", None), (206, NOISE, None), (207, f"{line('en')} {line('fr')} {line('en')}", None)]
     path = tmp_path_factory.mktemp("tables")
     df = spark.createDataFrame([(i, t, g, "src", len(t or "")) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(f"{path}/documents.parquet")

@@ -3,11 +3,15 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last return
 the columns of documents.  The near-duplicate stage takes five-word shingles and a similarity of 0.8.
 
-- language: documents without an identifiable language (null text, or no letter) go; all others stay.
+- language: documents without an identifiable language (null text, no letter, or letters that are too unlike all learned languages) go; all others stay.
 - lines: later occurrences of windows of three consecutive lines are removed from the texts.
 - near_duplicates: of each group of near-duplicates the document with the smallest doc_id stays.
 - decontaminate: passages that occur in the benchmark are removed; a document of which nothing is left goes.
 - tokens: ids of each text by byte-level BPE, and a decoding of them.
+
+Null and empty texts go at the first stage; a text that becomes empty later stays until decontamination.  Repeated rows (equal doc_id and text) don't
+remove each other's lines, and one of them is kept as a near-duplicate.  Ties go to the smaller doc_id.  An empty table gives an empty
+result, as does one without any labelled document.  Extra columns, of any name, pass through all stages but the last.
 """
 
 from __future__ import annotations

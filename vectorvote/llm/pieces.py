@@ -43,10 +43,11 @@ class Cache:
         known[inside] = self.keys[place[inside]] == distinct[inside]
         chunk = lambda k: buf[start[k] : end[k]].tobytes()
         if not known.all():
-            if len(self.store) + len(self.raw) // 4 > self.limit:
+            if len(self.store) > self.limit or len(self.raw) > 16 * self.limit:
                 self._clear()
                 known[:] = False
-            texts = [chunk(k) for k in first[~known].tolist()]
+            new, whole = first[~known], buf.tobytes()
+            texts = [whole[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())]
             ids, size = self.encode(texts)
             raw_size = np.array([len(t) for t in texts], np.int64)
             keys = np.concatenate([self.keys, distinct[~known]])

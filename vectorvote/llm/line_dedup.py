@@ -11,7 +11,8 @@ skewed stream side is split by adaptive execution.
 Defined results: lines are separated by "\\n" and compared byte by byte; a line of white space only is blank, is never
 part of a window and never removed.  Texts with fewer than three such lines keep all lines; null text stays null, with
 no lines.  Repeated rows (equal doc_id and text) count as one document: none removes lines from the other, and each is
-returned.  A null doc_id sorts first.  Extra columns pass through `dedup_lines`.
+returned.  A null doc_id sorts first.  An empty table gives an empty result.  A very long text is a slice by itself, handled whole, in
+memory in proportion to its length.  Extra columns pass through `dedup_lines`.
 """
 
 from __future__ import annotations

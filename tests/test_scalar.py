@@ -64,10 +64,10 @@ def vector(spark, body):
 
 def rules(body, config=CONFIG, risk=RISK):
     """The 14 features in plain Python, from the rules: each ratio clamped to 0..1, both "since last" features -1 without a last transaction."""
-    from datetime import datetime
+    from datetime import datetime, timezone
 
     tx, customer, merchant, terminal, last = (body[k] for k in ("transaction", "customer", "merchant", "terminal", "last_transaction"))
-    at = lambda t: datetime.fromisoformat(t.replace("Z", "+00:00"))
+    at = lambda t: datetime.fromisoformat(t.replace("Z", "+00:00")).astimezone(timezone.utc)
     unit = lambda x: min(max(x, 0.0), 1.0)
     now = at(tx["requested_at"])
     ratio = unit(tx["amount"] / customer["avg_amount"] / config.amount_vs_avg_ratio) if customer["avg_amount"] > 0 else float(tx["amount"] > 0)
